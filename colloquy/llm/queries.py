@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import sql
+from colloquy.llm.leakage import leaked_items
 from colloquy.llm.nearest import clip_turn_partners
 from colloquy.llm.sampling import draw_sample
 from colloquy.llm.splitting import split_turns
@@ -46,6 +47,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_turns(table(spark, folder, "conversations")).select("conversation_id", "turn_id", "cut", F.inline("pieces"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item with the number of documents that hold it."""
+    items = table(spark, folder, "eval_items").select("item_id", "task", "split_name").distinct()
+    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    per_item = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
+    return items.join(per_item, "item_id", "left").select(
+        "item_id", "task", "split_name", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.col("n_documents").isNotNull().alias("leaked")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -53,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "p3_sample": p3_sample,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
 }
 
 SQL: dict[str, str] = {
