@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import sql
+from colloquy.llm.encoding import encoded
 from colloquy.llm.leakage import leaked_items
 from colloquy.llm.nearest import clip_turn_partners
 from colloquy.llm.sampling import draw_sample
@@ -47,6 +48,10 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_turns(table(spark, folder, "conversations")).select("conversation_id", "turn_id", "cut", F.inline("pieces"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(table(spark, folder, "documents"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "p3_sample": p3_sample,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_items": p7_items,
 }
