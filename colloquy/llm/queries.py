@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import sql
+from colloquy.llm.consensus import Consensus, fit_consensus
 from colloquy.llm.encoding import encoded
 from colloquy.llm.leakage import leaked_items
 from colloquy.llm.nearest import clip_turn_partners
@@ -24,6 +25,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _consensus(spark: SparkSession, folder: str) -> Consensus:
+    return fit_consensus(table(spark, folder, "golden"), table(spark, folder, "conversations"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).labels(least_voters=3).select("conversation_id", "turn_id", "addressees")
+
+
+def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with votes: consensus, number of voters, share of votes that agree, posterior."""
+    return _consensus(spark, folder).labels()
+
+
+def p2_labelers(spark: SparkSession, folder: str) -> DataFrame:
+    """Reliability of every labeler."""
+    return _consensus(spark, folder).labelers()
+
+
 def _draw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return draw_sample(table(spark, folder, "conversations"), table(spark, folder, "sample_targets"))
 
@@ -68,6 +87,9 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_labelers": p2_labelers,
+    "p2_turns": p2_turns,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p3_sample": p3_sample,
