@@ -14,6 +14,7 @@ from colloquy.llm.leakage import leaked_items
 from colloquy.llm.nearest import clip_turn_partners
 from colloquy.llm.sampling import draw_sample
 from colloquy.llm.splitting import split_turns
+from colloquy.llm.toxicity import rates, scored
 from colloquy.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,21 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(table(spark, folder, "documents")).where("offending").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score and its offending spans."""
+    found = scored(table(spark, folder, "documents"))
+    return found.select("doc_id", "score", "offending", F.to_json("spans").alias("spans"))
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of offending documents per source."""
+    return rates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -98,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_sources": p8_sources,
 }
 
 SQL: dict[str, str] = {
