@@ -94,9 +94,10 @@ def turn_hash(turn: Column) -> Column:
 
 
 def format_turn(marker: Column, turn_id: Column, start: Column, end: Column, speaker: Column, text: Column) -> Column:
-    """One transcript line; null text counts as empty."""
+    """One transcript line; null text and speaker count as empty, a null time as 0."""
+    empty, zero = F.lit(""), F.lit(0.0)
     return F.format_string(
-        "%s (turn %d) [%.2f-%.2f] %s: %s", marker, turn_id, start, end, speaker, F.coalesce(text, F.lit(""))
+        "%s (turn %d) [%.2f-%.2f] %s: %s", marker, turn_id, F.coalesce(start, zero), F.coalesce(end, zero), F.coalesce(speaker, empty), F.coalesce(text, empty)
     )
 
 
