@@ -66,40 +66,40 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
     )
     ballots = one.groupBy("conversation_id", "turn_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "vote"))).alias("votes"))
 
-    wanted = golden.select("conversation_id").distinct()
+    people = F.array_distinct(F.filter(F.transform(roster(F.col("speakers"), F.col("turns")), strip), lambda s: s.isNotNull()))
+    asks = lambda text: F.coalesce(F.rlike(text, F.lit(r"[?？]\s*$")), F.lit(False))
+    text_of = lambda t: F.coalesce(t["text"], F.lit(""))
+    called = lambda t, s: F.startswith(t, F.concat(s, F.lit(","))) | F.endswith(t, F.concat(F.lit(", "), s, F.lit("?")))
+    # what a text tells is found on the scan side: no text is moved
     current = current_conversations(
         conversations,
-        roster=F.array_distinct(F.filter(F.transform(roster(F.col("speakers"), F.col("turns")), strip), lambda s: s.isNotNull())),
+        roster=people,
         turns=F.transform(
             "turns",
             lambda t: F.struct(
-                F.coalesce(t["start"], F.lit(0.0)).alias("start"), t["turn_id"].alias("turn_id"), strip(t["speaker"]).alias("speaker"), t["text"].alias("text")
+                F.coalesce(t["start"], F.lit(0.0)).alias("start"), t["turn_id"].alias("turn_id"), strip(t["speaker"]).alias("speaker"),
+                F.filter(people, lambda s: F.contains(text_of(t), s) & (F.char_length(s) > 1)).alias("named"),
+                F.filter(people, lambda s: called(text_of(t), s)).alias("at_start"),
+                asks(text_of(t)).alias("question"), is_backchannel(t["text"]).alias("backchannel"), F.char_length(text_of(t)).alias("length"),
             ),
         ),
-    ).join(wanted, "conversation_id", "left_semi")
-    turns = current.select("conversation_id", "roster", F.inline("turns")).dropDuplicates(["conversation_id", "turn_id"])
+    )
+    wanted = golden.select("conversation_id").distinct()
+    turns = current.join(wanted, "conversation_id", "left_semi").select("conversation_id", "roster", F.inline("turns"))
+    turns = turns.dropDuplicates(["conversation_id", "turn_id"])
     order = Window.partitionBy("conversation_id").orderBy("start", "turn_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     last = F.lag("speaker").over(order)
-    change = F.when(~last.eqNullSafe(F.col("speaker")), last)
-    turns = turns.withColumns({"__change": change, "__question": F.lag(F.coalesce(F.col("text").rlike(r"[?？]\s*$"), F.lit(False))).over(order)})
-    turns = turns.withColumn("previous", F.last("__change", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     turns = turns.withColumns(
         {
-            "next": F.first(F.col("speaker"), ignorenulls=True).over(order.rowsBetween(1, 1)),
-            "before_previous": F.last(F.when(~F.col("__change").eqNullSafe(F.col("previous")), F.col("__change")), ignorenulls=True).over(before),
+            "__change": F.when(~last.eqNullSafe(F.col("speaker")), last),
+            "after_question": F.coalesce(F.lag("question").over(order), F.lit(False)),
+            "next": F.lead("speaker").over(order),
         }
     )
-    named = F.filter("roster", lambda s: F.contains(F.coalesce(F.col("text"), F.lit("")), s) & (F.char_length(s) > 1))
-    at_start = F.filter("roster", lambda s: F.coalesce(F.startswith(F.col("text"), F.concat(s, F.lit(","))) | F.endswith(F.col("text"), F.concat(F.lit(", "), s, F.lit("?"))), F.lit(False)))
-    turns = turns.select(
-        "conversation_id", "turn_id", "speaker", "previous", "next", "before_previous", "roster",
-        named.alias("named"), at_start.alias("at_start"),
-        F.coalesce(F.col("text").rlike(r"[?？]\s*$"), F.lit(False)).alias("question"),
-        F.coalesce("__question", F.lit(False)).alias("after_question"),
-        is_backchannel(F.col("text")).alias("backchannel"),
-        F.coalesce(F.char_length("text"), F.lit(0)).alias("length"),
-    )
+    turns = turns.withColumn("previous", F.last("__change", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    other = F.when(~F.col("__change").eqNullSafe(F.col("previous")), F.col("__change"))
+    turns = turns.withColumn("before_previous", F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    turns = turns.drop("start", "__change")
     rows = ballots.join(turns, ["conversation_id", "turn_id"], "left")
     mine = F.filter("votes", lambda v: ~v["vote"].eqNullSafe(F.col("speaker")))
     return rows.withColumn("votes", mine).where(F.size("votes") > 0)
