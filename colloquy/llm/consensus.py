@@ -31,6 +31,10 @@ FEATURES = (
 #: Up to so many other speakers, every set of two or three of them is a candidate; beyond, those that were voted for.
 LISTED = 5
 ITERATIONS = 12
+#: Longest text that may pass for a backchannel.
+SHORT = 30
+#: Greatest change of a labeler's reliability at which the fit has converged.
+SETTLED = 5e-4
 L2 = 1.0
 #: Pseudo-counts of the confusions, by outcome: most labelers are right more often than not.
 PRIOR = np.array([[6.0, 0.0, 0.0, 2.0, 0.0, 1.0], [6.0, 1.0, 0.0, 1.5, 0.5, 0.2], [5.0, 1.0, 1.0, 0.5, 0.5, 0.2]])
@@ -59,7 +63,7 @@ def votes(golden: DataFrame) -> DataFrame:
 
 def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
     """One row per turn with votes: what the classifier sees of the turn, and its votes as an array of (labeler, vote)."""
-    cast = votes(golden)
+    cast = votes(golden).repartition("conversation_id", "turn_id")  # all that follows, the join too, is grouped within it
     counted = cast.groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"))
     one = counted.groupBy("conversation_id", "turn_id", "labeler").agg(
         F.min_by("vote", F.struct(-F.col("__n"), F.col("vote"))).alias("vote")
@@ -72,15 +76,15 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
     called = lambda t, s: F.startswith(t, F.concat(s, F.lit(","))) | F.endswith(t, F.concat(F.lit(", "), s, F.lit("?")))
     # what a text tells is found on the scan side: no text is moved
     current = current_conversations(
-        conversations,
-        roster=people,
+        conversations.withColumn("__people", people),
+        roster=F.col("__people"),
         turns=F.transform(
             "turns",
             lambda t: F.struct(
                 F.coalesce(t["start"], F.lit(0.0)).alias("start"), t["turn_id"].alias("turn_id"), strip(t["speaker"]).alias("speaker"),
-                F.filter(people, lambda s: F.contains(text_of(t), s) & (F.char_length(s) > 1)).alias("named"),
-                F.filter(people, lambda s: called(text_of(t), s)).alias("at_start"),
-                asks(text_of(t)).alias("question"), is_backchannel(t["text"]).alias("backchannel"), F.char_length(text_of(t)).alias("length"),
+                F.filter("__people", lambda s: F.contains(text_of(t), s) & (F.char_length(s) > 1)).alias("named"),
+                F.filter("__people", lambda s: called(text_of(t), s)).alias("at_start"),
+                asks(text_of(t)).alias("question"), F.when(F.char_length(text_of(t)) <= SHORT, is_backchannel(t["text"])).otherwise(False).alias("backchannel"), F.char_length(text_of(t)).alias("length"),
             ),
         ),
     )
@@ -272,7 +276,7 @@ class Consensus:
 
 
 def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int = ITERATIONS, block_items: int = 4096) -> Consensus:
-    """Fit on every turn that has votes.
+    """Fit on every turn that has votes, until no labeler's reliability moves by SETTLED or for ``iterations``.
 
     The truth of a turn is GROUP, one of the other speakers, or a set of them: each that was voted for, with up to LISTED other
     speakers every one, so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
@@ -290,7 +294,7 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
                 yield pd.DataFrame({"data": [_pack(block)]})
 
     blocks = cut_lineage(items(golden, conversations).mapInPandas(pack, "data binary"))
-    weights, theta = np.zeros(len(FEATURES)), None
+    weights, theta, reliability = np.zeros(len(FEATURES)), None, {}
     n_f = len(FEATURES)
     for _ in range(iterations):
 
@@ -323,9 +327,11 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
         hessian = hessian.reshape(n_f, n_f) + L2 * np.eye(n_f)
         weights = weights + np.clip(np.linalg.solve(hessian, gradient - L2 * weights), -2, 2)
         theta = {who: _rates(m) for who, m in counts.items()} | {"": _rates(np.zeros((len(KINDS), len(OUTCOMES))))}
+        before, reliability = reliability, {who: float(m[:, 0].sum() / max(m.sum(), 1e-9)) for who, m in counts.items()}
+        if before and max((abs(v - before.get(who, 0.0)) for who, v in reliability.items()), default=0.0) < SETTLED:
+            break
     n_votes = {who: float(m.sum()) for who, m in counts.items()} if theta else {}
-    accuracy = {who: float(m[:, 0].sum() / max(m.sum(), 1e-9)) for who, m in counts.items()} if theta else {}
-    return Consensus(blocks, weights, theta or {}, n_votes, accuracy)
+    return Consensus(blocks, weights, theta or {}, n_votes, reliability)
 
 
 def _rates(counts: np.ndarray) -> np.ndarray:
