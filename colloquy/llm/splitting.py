@@ -19,8 +19,8 @@ HARD, SPACE, SENTENCE, LINE, PARAGRAPH = range(5)
 CUTS = ("hard", "space", "sentence")
 
 #: What ends a sentence, and line breaks.
-SENTENCE_END = re.compile("[.!?…]+[\"'”’»)\\]]*(?=\\s|\\Z)|[。！？]+[”’」』]*|[\n\r\v\f\x1c\x1d\x1e\x85  ]")
-LINE_BREAK = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85  ]")
+SENTENCE_END = re.compile("[.!?…]+[\"'”’»)\\]]*(?=\\s|\\Z)|[。！？]+[”’」』]*|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")
+LINE_BREAK = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")
 WORD = re.compile(r"\S+")
 
 
