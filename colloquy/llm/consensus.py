@@ -109,6 +109,38 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
     return rows.withColumn("votes", mine).where(F.size("votes") > 0)
 
 
+class _Pattern:
+    """The candidates of an item with so many other speakers and such votes, as masks, and how a vote stands to each of them."""
+
+    def __init__(self, others: int, voted: tuple[int, ...]):
+        masks = dict.fromkeys([0, *(1 << i for i in range(others)), *voted])
+        if others <= LISTED:
+            masks |= dict.fromkeys(sum(1 << i for i in s) for m in range(2, min(3, others) + 1) for s in combinations(range(others), m))
+        self.masks = list(masks)
+        self.size = [m.bit_count() for m in self.masks]
+        self.kind = [min(2, n) for n in self.size]
+        self.others = max(1, others)
+        listed = Counter(n for n in self.size if n > 1)
+        self.offset = [-math.log(max(1.0, math.comb(self.others, n) / listed[n])) if n > 1 else 0.0 for n in self.size]
+        self.rows: dict[int, tuple[list[int], list[float]]] = {}
+
+    def row(self, vote: int) -> tuple[list[int], list[float]]:
+        """For a vote, against each candidate as the truth: its outcome, and among how many votes that outcome is shared out."""
+        got = self.rows.get(vote)
+        if got is None:
+            got = self.rows[vote] = tuple(map(list, zip(*(self._outcome(vote, m) for m in self.masks))))
+        return got
+
+    def _outcome(self, vote: int, truth: int) -> tuple[int, float]:
+        if vote == truth:
+            return 0, 1.0
+        if not vote:
+            return 1, 1.0
+        if vote.bit_count() == 1:
+            return (2, float(truth.bit_count())) if vote & truth else (3, max(1.0, self.others - truth.bit_count()))
+        return (4, max(1.0, self.others - 1.0)) if vote & truth else (5, max(1.0, self.others * (self.others - 1) / 2))
+
+
 @dataclass
 class Block:
     """Some items as flat arrays: candidates of an item lie together, votes refer to an item, cells to (vote, candidate)."""
@@ -128,44 +160,70 @@ class Block:
 
     @classmethod
     def build(cls, rows: pd.DataFrame) -> Block:
-        candidates, item, kind, x, offset, labeler, cell, outcome, spread, voters = ([] for _ in range(10))
+        """Sets of names are bit masks over the other speakers of the turn, 0 being GROUP; how candidates stand to each other is
+        worked out once for every pattern of masks."""
+        candidates, size, kind, offset, labeler, cell, outcome, spread, voters = ([] for _ in range(9))
+        near, item_of, facts = [], [], []
         names: dict[str, int] = {}
+        patterns: dict[tuple, _Pattern] = {}
         for k, r in enumerate(rows.itertuples(index=False)):
             cast = [(v["labeler"], v["vote"]) for v in r.votes]
-            cast = [(who, "+".join(n for n in v.split("+") if n != r.speaker) or v) for who, v in cast]
+            others = sorted({s for s in (r.roster if r.roster is not None else ()) if s and s != r.speaker})
+            n_listed = len(others)
+            bit = {s: 1 << i for i, s in enumerate(others)}
+            masks = []
+            for _, v in cast:
+                mask = 0
+                if v != "GROUP":
+                    own = [s for s in v.split("+") if s != r.speaker] or v.split("+")
+                    for s in own:
+                        if s not in bit:
+                            bit[s] = 1 << len(bit)
+                            others.append(s)
+                        mask |= bit[s]
+                masks.append(mask)
+            key = (n_listed, tuple(sorted(set(masks))))
+            pattern = patterns.get(key)
+            if pattern is None:
+                pattern = patterns[key] = _Pattern(*key)
+            first = len(candidates)
+            candidates += [
+                "GROUP" if not m else others[m.bit_length() - 1] if not m & (m - 1) else "+".join(sorted(s for i, s in enumerate(others) if m >> i & 1))
+                for m in pattern.masks
+            ]
+            size += pattern.size
+            kind += pattern.kind
+            offset += pattern.offset
+            item_of += [k] * len(pattern.masks)
+            p, q, b = bit.get(r.previous, 0), bit.get(r.next, 0), bit.get(r.before_previous, 0)
+            named = sum(bit.get(s, 0) for s in set(r.named)) if r.named is not None and len(r.named) else 0
+            start = sum(bit.get(s, 0) for s in set(r.at_start)) if r.at_start is not None and len(r.at_start) else 0
+            if named or start:
+                near += [(m & p > 0, m & q > 0, m & b > 0, (m & named).bit_count(), (m & start).bit_count()) for m in pattern.masks]
+            else:
+                near += [(m & p > 0, m & q > 0, m & b > 0, 0, 0) for m in pattern.masks]
+            length = r.length if r.length == r.length and r.length is not None else 1000
+            facts.append((length < 25, bool(r.question), bool(r.backchannel), bool(r.after_question), max(1, n_listed)))
             voters.append(len(cast))
-            present = [s for s in (r.roster if r.roster is not None else []) if s and s != r.speaker]
-            n_others = max(1, len(present))
-            sets = {c: frozenset(c.split("+")) for c in dict.fromkeys([*(v for _, v in cast), "GROUP", *present])}
-            if len(present) <= LISTED:
-                own = sorted(present)
-                sets |= {"+".join(s): frozenset(s) for m in range(2, min(3, len(own)) + 1) for s in combinations(own, m)}
-            first, listed = len(candidates), Counter(len(s) for c, s in sets.items() if len(s) > 1)
-            named, at_start = set(r.named if r.named is not None else ()), set(r.at_start if r.at_start is not None else ())
-            for c, s in sets.items():
-                group, several = c == "GROUP", len(s) > 1
-                prev, nxt = (not group) and r.previous in s, (not group) and r.next in s
-                candidates.append(c)
-                item.append(k)
-                kind.append(0 if group else 2 if several else 1)
-                share = 1 / len(s)
-                offset.append(-math.log(max(1.0, math.comb(n_others, len(s)) / listed[len(s)])) if several else 0.0)
-                x.append((
-                    group, several, prev * share, nxt * share, (not group and r.before_previous in s) * share, len(named & s) * share, len(at_start & s) * share,
-                    group and r.length < 25, group and bool(r.question), prev and bool(r.backchannel) and not several, prev and bool(r.after_question) and not several,
-                    nxt and bool(r.question) and not several, group * np.log(n_others), several * np.log(n_others), several and prev and nxt, (not group) and n_others == 1,
-                ))
-            for who, v in cast:
-                i = names.setdefault(who, len(names))
-                for j, (c, s) in enumerate(sets.items()):
-                    mark, share = _outcome(v, sets[v], c, s, n_others)
-                    labeler.append(i)
-                    cell.append(first + j)
-                    outcome.append(mark)
-                    spread.append(share)
-        key = rows[["conversation_id", "turn_id"]].reset_index(drop=True)
+            for (who, _), m in zip(cast, masks):
+                marks, shares = pattern.row(m)
+                labeler += [names.setdefault(who, len(names))] * len(marks)
+                cell += range(first, first + len(marks))
+                outcome += marks
+                spread += shares
         as_int = lambda v: np.array(v, "int64")
-        return cls(key, candidates, as_int(item), as_int(kind), np.array(x, float).reshape(-1, len(FEATURES)), np.array(offset, float), as_int(labeler), as_int(cell), as_int(outcome), np.array(spread, float), as_int(voters), list(names))
+        item, kind_ = as_int(item_of), as_int(kind)
+        share = 1 / np.maximum(1, as_int(size))
+        prev, nxt, before, named_n, start_n = np.array(near, float).reshape(-1, 5).T
+        short, question, backchannel, after, n = np.array(facts, float).reshape(-1, 5)[item].T
+        group, several = (kind_ == 0) * 1.0, (kind_ == 2) * 1.0
+        one = 1 - several
+        x = np.stack([
+            group, several, prev * share, nxt * share, before * share, named_n * share, start_n * share, group * short, group * question,
+            prev * backchannel * one, prev * after * one, nxt * question * one, group * np.log(n), several * np.log(n), several * prev * nxt, (1 - group) * (n == 1),
+        ], 1)
+        key = rows[["conversation_id", "turn_id"]].reset_index(drop=True)
+        return cls(key, candidates, item, kind_, x, np.array(offset, float), as_int(labeler), as_int(cell), as_int(outcome), np.array(spread, float), as_int(voters), list(names))
 
     def posterior(self, weights: np.ndarray, theta: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """(posterior of each candidate, the classifier's prior). Without confusions: the prior times the share of votes."""
@@ -192,18 +250,6 @@ class Block:
         return dict(zip(self.names, counts)), gradient, hessian, float((post * np.log(np.maximum(prior, 1e-300))).sum())
 
 
-def _outcome(vote: str, v: frozenset, truth: str, t: frozenset, others: int) -> tuple[int, float]:
-    """How ``vote`` stands to ``truth``, and among how many votes that outcome is shared out."""
-    if vote == truth:
-        return 0, 1.0
-    if vote == "GROUP":
-        return 1, 1.0
-    if len(v) == 1:
-        return (2, float(len(t))) if v <= t and truth != "GROUP" else (3, max(1.0, others - (len(t) if truth != "GROUP" else 0)))
-    pairs = max(1.0, others * (others - 1) / 2)
-    return (4, max(1.0, others - 1.0)) if truth != "GROUP" and v & t else (5, pairs)
-
-
 def _softmax(score: np.ndarray, group: np.ndarray) -> np.ndarray:
     if not len(score):
         return score
