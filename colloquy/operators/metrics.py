@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.columns import is_backchannel, jaccard
-from colloquy.operators.current import current_turns, speaker_count
-from colloquy.operators.current import current_conversations
+from colloquy.operators.current import current_conversations, current_turns, speaker_count
 from colloquy.operators.labels import one_label_per_turn
 
 STRATA = ("overall", "two_party", "multi_party", "overlap", "non_overlap", "backchannel")

@@ -66,12 +66,7 @@ def _labels_sql(name: str, source: str) -> str:
 )"""
 
 
-RECORDS = f"""{TURNS}, {_labels_sql('gold', 'golden')}, {_labels_sql('pred', 'candidate')}, facts AS (
-  SELECT conversation_id, turn_id, coalesce(overlap, false) AS overlap,
-    coalesce(len(regexp_extract_all(lower(text), '[a-z'']+')) BETWEEN 1 AND 3
-      AND list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), {list(C.BACKCHANNEL_WORDS)!r}), false) AS backchannel
-  FROM t
-), fact AS (
+RECORDS = f"""{TURNS}, {_labels_sql('gold', 'golden')}, {_labels_sql('pred', 'candidate')}, fact AS (
   SELECT * FROM (SELECT facts.*, row_number() OVER (PARTITION BY f.conversation_id, f.turn_id ORDER BY coalesce(f.t_start, 0), facts.overlap, facts.backchannel) AS r
     FROM (SELECT *, coalesce(overlap, false) AS o FROM t) f, LATERAL (SELECT f.conversation_id, f.turn_id, f.o AS overlap,
       coalesce(len(regexp_extract_all(lower(f.text), '[a-z'']+')) BETWEEN 1 AND 3
@@ -86,12 +81,7 @@ RECORDS = f"""{TURNS}, {_labels_sql('gold', 'golden')}, {_labels_sql('pred', 'ca
       ELSE len(list_intersect(gold.addressees, pred.addressees)) / CAST(len(list_distinct(list_concat(gold.addressees, pred.addressees))) AS DOUBLE) END AS jaccard,
     len(gold.addressees) = 1 AND len(pred.addressees) = 1 AS both_single
   FROM gold JOIN pred USING (conversation_id, turn_id) LEFT JOIN sizes USING (conversation_id) LEFT JOIN fact USING (conversation_id, turn_id)
-)""".replace("""facts AS (
-  SELECT conversation_id, turn_id, coalesce(overlap, false) AS overlap,
-    coalesce(len(regexp_extract_all(lower(text), '[a-z'']+')) BETWEEN 1 AND 3
-      AND list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), """ + repr(list(C.BACKCHANNEL_WORDS)) + """), false) AS backchannel
-  FROM t
-), """, "")
+)"""
 STRATA_SQL = """st AS (
   SELECT *, unnest(['overall', CASE WHEN n_speakers <= 2 THEN 'two_party' ELSE 'multi_party' END,
     CASE WHEN overlap THEN 'overlap' ELSE 'non_overlap' END, CASE WHEN backchannel THEN 'backchannel' END]) AS stratum FROM rec
