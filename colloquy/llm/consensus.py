@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.columns import folded, is_backchannel, roster, strip
@@ -36,39 +36,55 @@ SHORT = 30
 #: Greatest change of a labeler's reliability at which the fit has converged.
 SETTLED = 5e-4
 L2 = 1.0
+#: Upper ends of the grades of confidence on the unit scale; grade 0 is a missing or impossible one, the last is open up to 1.
+GRADES = (0.75, 0.9)
+#: Votes of a labeler's own rates that are added to what is counted in one grade.
+SHRINK = 20.0
 #: Pseudo-counts of the confusions, by outcome: most labelers are right more often than not.
 PRIOR = np.array([[6.0, 0.0, 0.0, 2.0, 0.0, 1.0], [6.0, 1.0, 0.0, 1.5, 0.5, 0.2], [5.0, 1.0, 1.0, 0.5, 0.5, 0.2]])
 
 
 def votes(golden: DataFrame) -> DataFrame:
-    """(conversation_id, turn_id, labeler, vote): one vote of a labeler on a turn, an addressee set as names joined by ``+``.
+    """(conversation_id, turn_id, labeler, vote, grade): one vote of a labeler on a turn, an addressee set as names joined by ``+``.
 
     Names are trimmed, null and empty ones dropped, distinct, sorted; a set with GROUP among others is GROUP. A label that then is
     empty or holds UNKNOWN, or has no labeler (null or blank), casts no vote. Labelers are folded. Where one gave different votes
     on one turn the more frequent counts, then the first in order; copies count once. The speaker's own name is left to
-    :func:`items`, which knows the turn.
+    :func:`items`, which knows the turn. grade is that of the confidence: 0 if null, NaN, negative or over 100, else by GRADES; what is over 1 is
+    in per cent.
     """
     rows = golden.select("conversation_id", F.explode("labels").alias("__l")).select(
         "conversation_id",
         F.col("__l.turn_id").alias("turn_id"),
         folded(F.col("__l.labeler")).alias("labeler"),
+        _grade(F.col("__l.confidence")).alias("grade"),
         F.array_sort(
             F.array_distinct(F.filter(F.transform("__l.addressees", strip), lambda x: x.isNotNull() & (x != "")))
         ).alias("__set"),
     )
     rows = rows.where((F.col("labeler") != "") & (F.size("__set") > 0) & ~F.array_contains("__set", "UNKNOWN"))
     vote = F.when(F.array_contains("__set", "GROUP"), F.lit("GROUP")).otherwise(F.array_join("__set", "+"))
-    return rows.select("conversation_id", "turn_id", "labeler", vote.alias("vote"))
+    return rows.select("conversation_id", "turn_id", "labeler", vote.alias("vote"), "grade")
+
+
+def _grade(confidence: Column) -> Column:
+    unit = F.when(confidence > 1, confidence / 100).otherwise(confidence)
+    above = sum((F.when(unit > g, 1).otherwise(0) for g in GRADES), F.lit(1))
+    return F.when(confidence.between(0, 100), above).otherwise(0)  # Spark orders NaN above all numbers
 
 
 def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
-    """One row per turn with votes: what the classifier sees of the turn, and its votes as an array of (labeler, vote)."""
+    """One row per turn with votes: what the classifier sees of the turn, and its votes as an array of (labeler, vote, grade).
+
+    Of several confidences behind one labeler's vote on a turn the highest grade counts.
+    """
     cast = votes(golden).repartition("conversation_id", "turn_id")  # all that follows, the join too, is grouped within it
-    counted = cast.groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"))
+    counted = cast.groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"), F.max("grade").alias("grade"))
     one = counted.groupBy("conversation_id", "turn_id", "labeler").agg(
-        F.min_by("vote", F.struct(-F.col("__n"), F.col("vote"))).alias("vote")
+        F.min_by(F.struct("vote", "grade"), F.struct(-F.col("__n"), F.col("vote"))).alias("__v")
     )
-    ballots = one.groupBy("conversation_id", "turn_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "vote"))).alias("votes"))
+    one = one.select("conversation_id", "turn_id", "labeler", "__v.*")
+    ballots = one.groupBy("conversation_id", "turn_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "vote", "grade"))).alias("votes"))
 
     people = F.array_distinct(F.filter(F.transform(roster(F.col("speakers"), F.col("turns")), strip), lambda s: s.isNotNull()))
     asks = lambda text: F.coalesce(F.rlike(text, F.lit(r"[?？]\s*$")), F.lit(False))
@@ -141,6 +157,10 @@ class _Pattern:
         return (4, max(1.0, self.others - 1.0)) if vote & truth else (5, max(1.0, self.others * (self.others - 1) / 2))
 
 
+def _graded(labeler: str, grade: int) -> str:
+    return f"{labeler}\2{grade}"
+
+
 @dataclass
 class Block:
     """Some items as flat arrays: candidates of an item lie together, votes refer to an item, cells to (vote, candidate)."""
@@ -156,7 +176,7 @@ class Block:
     outcome: np.ndarray
     spread: np.ndarray  # how many votes share the outcome
     voters: np.ndarray  # of each item
-    names: list[str]
+    names: list[str]  # labelers with the grade of their votes
 
     @classmethod
     def build(cls, rows: pd.DataFrame) -> Block:
@@ -167,7 +187,7 @@ class Block:
         names: dict[str, int] = {}
         patterns: dict[tuple, _Pattern] = {}
         for k, r in enumerate(rows.itertuples(index=False)):
-            cast = [(v["labeler"], v["vote"]) for v in r.votes]
+            cast = [(_graded(v["labeler"], v["grade"]), v["vote"]) for v in r.votes]
             others = sorted({s for s in (r.roster if r.roster is not None else ()) if s and s != r.speaker})
             n_listed = len(others)
             bit = {s: 1 << i for i, s in enumerate(others)}
@@ -238,7 +258,7 @@ class Block:
         return _softmax(score + self.x @ weights + self.offset, self.item), prior
 
     def statistics(self, weights: np.ndarray, theta: dict[str, np.ndarray] | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Expected confusion counts of each labeler; gradient and Hessian of the classifier; expected log-likelihood."""
+        """Expected confusion counts of each labeler and grade; gradient and Hessian of the classifier; expected log-likelihood."""
         post, prior = self.posterior(weights, theta)
         flat = (self.labeler * len(KINDS) + self.kind[self.cell]) * len(OUTCOMES) + self.outcome
         counts = np.bincount(flat, post[self.cell], minlength=len(self.names) * len(KINDS) * len(OUTCOMES))
@@ -279,11 +299,12 @@ def _unpack(data: bytes) -> Block:
 
 @dataclass
 class Consensus:
-    """The fitted model: its packed items, the classifier's weights, a confusion matrix for each labeler and how often it voted."""
+    """The fitted model: its packed items, the classifier's weights, a confusion matrix for each labeler and grade and for each labeler, how often it voted."""
 
     blocks: DataFrame
     weights: np.ndarray
     theta: dict[str, np.ndarray]
+    own: dict[str, np.ndarray]
     n_votes: dict[str, float]
     accuracy: dict[str, float]
 
@@ -312,7 +333,7 @@ class Consensus:
     def labelers(self) -> DataFrame:
         """(labeler, n_votes, reliability, right_on_group, right_on_single, right_on_several): expected shares of right votes."""
         rows = [
-            (who, int(self.n_votes[who]), self.accuracy[who], *(float(self.theta[who][k, 0]) for k in range(len(KINDS))))
+            (who, int(self.n_votes[who]), self.accuracy[who], *(float(self.own[who][k, 0]) for k in range(len(KINDS))))
             for who in sorted(self.n_votes)
         ]
         spark = self.blocks.sparkSession
@@ -328,7 +349,8 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
     speakers every one, so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
     the packed items: each task returns the confusion counts that it expects (E step) with the classifier's gradient and Hessian,
     summed in a shuffle of a few numbers; the driver re-estimates confusions with pseudo-counts and takes a Newton step on the L2
-    regularised conditional logit, whose output is the prior of the next E step. Items are independent, so no key is hot.
+    regularised conditional logit, whose output is the prior of the next E step. Confusions are kept for every labeler and grade of confidence,
+    drawn to the labeler's own, so that a confidence counts as far as this labeler's has proved to mean something. Items are independent, so no key is hot.
 
     An empty golden table gives an empty result. A conversation missing from ``conversations`` has no features but its votes count.
     """
@@ -340,7 +362,7 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
                 yield pd.DataFrame({"data": [_pack(block)]})
 
     blocks = cut_lineage(items(golden, conversations).mapInPandas(pack, "data binary"))
-    weights, theta, reliability = np.zeros(len(FEATURES)), None, {}
+    weights, theta, own, reliability = np.zeros(len(FEATURES)), None, {}, {}
     n_f = len(FEATURES)
     for _ in range(iterations):
 
@@ -359,12 +381,14 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
 
         stats = blocks.mapInPandas(expect, "part string, labeler string, k int, value double")
         summed = stats.groupBy("part", "labeler", "k").agg(F.sum("value").alias("value"))
-        got = summed.limit(MOST_LABELERS * len(KINDS) * len(OUTCOMES)).toPandas()
-        counts = {}
+        got = summed.limit(MOST_LABELERS * (len(GRADES) + 2) * len(KINDS) * len(OUTCOMES)).toPandas()
+        graded, counts = {}, {}
         for who, rows in got[got.part == "l"].groupby("labeler"):
             m = np.zeros(len(KINDS) * len(OUTCOMES))
             m[rows.k.to_numpy()] = rows.value.to_numpy()
-            counts[who] = m.reshape(len(KINDS), len(OUTCOMES))
+            graded[who] = m.reshape(len(KINDS), len(OUTCOMES))
+            labeler = who.rpartition("\2")[0]
+            counts[labeler] = counts.get(labeler, 0) + graded[who]
         if len(counts) >= MOST_LABELERS:
             raise ValueError(f"{MOST_LABELERS} labelers or more")
         gradient, hessian = np.zeros(n_f), np.zeros(n_f * n_f)
@@ -372,15 +396,21 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
         gradient[g.k.to_numpy()], hessian[h.k.to_numpy()] = g.value.to_numpy(), h.value.to_numpy()
         hessian = hessian.reshape(n_f, n_f) + L2 * np.eye(n_f)
         weights = weights + np.clip(np.linalg.solve(hessian, gradient - L2 * weights), -2, 2)
-        theta = {who: _rates(m) for who, m in counts.items()} | {"": _rates(np.zeros((len(KINDS), len(OUTCOMES))))}
+        own = {who: _rates(m) for who, m in counts.items()}
+        theta = {who: _drawn(m, own[who.rpartition("\2")[0]]) for who, m in graded.items()} | {"": _rates(np.zeros((len(KINDS), len(OUTCOMES))))}
         before, reliability = reliability, {who: float(m[:, 0].sum() / max(m.sum(), 1e-9)) for who, m in counts.items()}
         if before and max((abs(v - before.get(who, 0.0)) for who, v in reliability.items()), default=0.0) < SETTLED:
             break
     n_votes = {who: float(m.sum()) for who, m in counts.items()} if theta else {}
-    return Consensus(blocks, weights, theta or {}, n_votes, reliability)
+    return Consensus(blocks, weights, theta or {}, own, n_votes, reliability)
 
 
 def _rates(counts: np.ndarray) -> np.ndarray:
     """Confusion rates of a labeler with pseudo-counts; impossible outcomes get a rate that is as good as none."""
     rates = counts + PRIOR + 1e-3
     return rates / rates.sum(1, keepdims=True)
+
+
+def _drawn(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Confusion rates of a labeler's votes of one grade: SHRINK votes like the labeler's others are added."""
+    return (counts + SHRINK * own) / (counts.sum(1, keepdims=True) + SHRINK)

@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import conversation, conversations, label, label_sets, turn
 
-from colloquy.llm.consensus import fit_consensus
+from colloquy.llm.consensus import fit_consensus, votes
 
 
 def world(n=60, seed=1):
@@ -61,3 +61,33 @@ def test_votes_that_do_not_count(spark):
 def test_empty(spark):
     model = fit_consensus(label_sets(spark, []), conversations(spark, []), iterations=2)
     assert model.labels().count() == 0 and model.labelers().count() == 0
+
+
+def test_confidence_counts_as_far_as_it_means_something(spark):
+    rng = random.Random(4)
+    people, convs, golds, truth = ["A", "B", "C", "D"], [], [], {}
+    for c in range(60):
+        turns, labels = [], []
+        for t in range(10):
+            turns.append(turn(t, "A", float(t), t + 0.8, "text"))
+            truth[f"c{c}", t] = true = rng.choice(people[1:])
+            for who in ("one", "two", "three", "boaster"):
+                sure = rng.random() < 0.5
+                right = rng.random() < (0.95 if sure else 0.35) if who != "boaster" else rng.random() < 0.4
+                answer = true if right else rng.choice([p for p in people[1:] if p != true])
+                confidence = 0.95 if sure or who == "boaster" else 0.6
+                labels.append(label(t, [answer], rng.choice([confidence, 100 * confidence]), who))
+        convs.append(conversation(f"c{c}", turns, people))
+        golds.append((f"c{c}", labels))
+    model = fit_consensus(label_sets(spark, golds), conversations(spark, convs))
+    right = sum(r.addressees == truth[r.conversation_id, r.turn_id] for r in model.labels().collect()) / len(truth)
+    assert right > 0.85
+    sure, doubtful, boast = (model.theta[k][1, 0] for k in ("one\x023", "one\x021", "boaster\x023"))
+    assert sure > 0.85 and doubtful < 0.55 and boast < 0.55
+    assert {r.labeler for r in model.labelers().collect()} == {"one", "two", "three", "boaster"}
+
+
+def test_grades_of_confidence(spark):
+    values = [None, float("nan"), -1.0, 101.0, 0.0, 0.75, 75.0, 0.76, 90.0, 0.91, 1.0, 100.0]
+    gold = label_sets(spark, [("c", [label(t, ["B"], v) for t, v in enumerate(values)])])
+    assert [r.grade for r in votes(gold).orderBy("turn_id").collect()] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3]
