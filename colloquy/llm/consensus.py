@@ -28,7 +28,7 @@ FEATURES = (
     "group", "several", "previous", "next", "before previous", "named", "named at start", "group in short turn", "group in question",
     "previous in backchannel", "previous after question", "next in question", "group by speakers", "several by speakers", "previous and next", "alone",
 )
-#: Up to so many other speakers, every set of two or three of them is a candidate; beyond, those that were voted for.
+#: Up to so many other speakers, every set of two or three of them is a candidate; beyond, those of speakers that votes or the turn point to.
 LISTED = 5
 ITERATIONS = 12
 #: Longest text that may pass for a backchannel.
@@ -128,10 +128,15 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
 class _Pattern:
     """The candidates of an item with so many other speakers and such votes, as masks, and how a vote stands to each of them."""
 
-    def __init__(self, others: int, voted: tuple[int, ...]):
+    def __init__(self, others: int, voted: tuple[int, ...], hinted: int = 0):
         masks = dict.fromkeys([0, *(1 << i for i in range(others)), *voted])
-        if others <= LISTED:
-            masks |= dict.fromkeys(sum(1 << i for i in s) for m in range(2, min(3, others) + 1) for s in combinations(range(others), m))
+        for a, b in combinations(voted, 2):
+            masks |= dict.fromkeys((a | b, a & b) if a & b else (a | b,))
+        likely = (1 << others) - 1 if others <= LISTED else hinted
+        for a in voted:
+            likely |= a
+        pool = [1 << i for i in range(likely.bit_length()) if likely >> i & 1]
+        masks |= dict.fromkeys(sum(s) for m in (2, 3) for s in combinations(pool, m))
         self.masks = list(masks)
         self.size = [m.bit_count() for m in self.masks]
         self.kind = [min(2, n) for n in self.size]
@@ -202,7 +207,10 @@ class Block:
                             others.append(s)
                         mask |= bit[s]
                 masks.append(mask)
-            key = (n_listed, tuple(sorted(set(masks))))
+            p, q, b = bit.get(r.previous, 0), bit.get(r.next, 0), bit.get(r.before_previous, 0)
+            named = sum(bit.get(s, 0) for s in set(r.named)) if r.named is not None and len(r.named) else 0
+            start = sum(bit.get(s, 0) for s in set(r.at_start)) if r.at_start is not None and len(r.at_start) else 0
+            key = (n_listed, tuple(sorted(set(masks))), p | q | named | start if n_listed > LISTED else 0)
             pattern = patterns.get(key)
             if pattern is None:
                 pattern = patterns[key] = _Pattern(*key)
@@ -215,9 +223,6 @@ class Block:
             kind += pattern.kind
             offset += pattern.offset
             item_of += [k] * len(pattern.masks)
-            p, q, b = bit.get(r.previous, 0), bit.get(r.next, 0), bit.get(r.before_previous, 0)
-            named = sum(bit.get(s, 0) for s in set(r.named)) if r.named is not None and len(r.named) else 0
-            start = sum(bit.get(s, 0) for s in set(r.at_start)) if r.at_start is not None and len(r.at_start) else 0
             if named or start:
                 near += [(m & p > 0, m & q > 0, m & b > 0, (m & named).bit_count(), (m & start).bit_count()) for m in pattern.masks]
             else:
@@ -345,8 +350,9 @@ class Consensus:
 def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int = ITERATIONS, block_items: int = 4096) -> Consensus:
     """Fit on every turn that has votes, until no labeler's reliability moves by SETTLED or for ``iterations``.
 
-    The truth of a turn is GROUP, one of the other speakers, or a set of them: each that was voted for, with up to LISTED other
-    speakers every one, so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
+    The truth of a turn is GROUP, one of the other speakers, or a set of them: each that was voted for, unions and intersections of two
+    votes, and every two or three speakers, with more than LISTED others those who were voted for, are named or spoke before or next,
+    so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
     the packed items: each task returns the confusion counts that it expects (E step) with the classifier's gradient and Hessian,
     summed in a shuffle of a few numbers; the driver re-estimates confusions with pseudo-counts and takes a Newton step on the L2
     regularised conditional logit, whose output is the prior of the next E step. Confusions are kept for every labeler and grade of confidence,

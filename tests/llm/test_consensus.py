@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import conversation, conversations, label, label_sets, turn
 
-from colloquy.llm.consensus import fit_consensus, votes
+from colloquy.llm.consensus import _Pattern, _unpack, fit_consensus, votes
 
 
 def world(n=60, seed=1):
@@ -91,3 +91,19 @@ def test_grades_of_confidence(spark):
     values = [None, float("nan"), -1.0, 101.0, 0.0, 0.75, 75.0, 0.76, 90.0, 0.91, 1.0, 100.0]
     gold = label_sets(spark, [("c", [label(t, ["B"], v) for t, v in enumerate(values)])])
     assert [r.grade for r in votes(gold).orderBy("turn_id").collect()] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3]
+
+
+@pytest.mark.parametrize("others", [3, 5, 6, 12])
+def test_candidates_do_not_hang_on_the_size_of_the_roster(others):
+    masks = _Pattern(others, (0b001, 0b010, 0b101)).masks
+    assert {0, 0b001, 0b011, 0b101, 0b110, 0b111} <= set(masks) and len(masks) == len(set(masks))
+    assert {0b1100, 0b1111} <= set(_Pattern(others + 1, (0b0111, 0b1100)).masks)
+    assert 0b110000 in _Pattern(others + 6, (0b1,), 0b110000).masks
+
+
+def test_a_set_that_nobody_voted_for_in_a_large_roster(spark):
+    people = ["S", *"ABCDEFG"]
+    convs = [conversation("c", [turn(t, "S", float(t), t + 0.5, "text") for t in range(8)], people)]
+    gold = [("c", [label(t, names, labeler=who) for t in range(8) for who, names in (("x", ["A"]), ("y", ["B"]), ("z", ["A", "C"]))])]
+    blocks = fit_consensus(label_sets(spark, gold), conversations(spark, convs), iterations=1).blocks.collect()
+    assert "A+B" in _unpack(blocks[0].data).candidates
