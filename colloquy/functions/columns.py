@@ -101,6 +101,13 @@ def format_turn(marker: Column, turn_id: Column, start: Column, end: Column, spe
     )
 
 
+def audio_slice(start: Column, end: Column, pad: float) -> Column:
+    """(start, seconds): what to cut from a recording for a span, with ``pad`` seconds on both sides, from 0 on and never under 0.05 s."""
+    return F.struct(
+        F.greatest(F.lit(0.0), start - F.lit(pad)).alias("start"), F.greatest(F.lit(0.05), end - start + F.lit(2 * pad)).alias("seconds")
+    )
+
+
 def clip_offset(clip_t0: Column, meta: Column, clip_id: Column) -> Column:
     """Seconds from the start of the meeting to the start of a clip: the metadata's, else meta t0, else the number in the id, else 0."""
     in_id = F.regexp_extract(clip_id, r"(?s)^.*_t([^-]*)", 1)

@@ -92,30 +92,49 @@ def parsed_response(raw: Column) -> Column:
     return F.pandas_udf(run, PARSED)(raw)
 
 
+#: What the rationale of a label says whose window failed, or that the response misses.
+FAILED, MISSING = "labeler failed: ", "missing from model output"
+
+
 def labels_from_responses(responses: DataFrame, targets: DataFrame, labeler: str) -> DataFrame:
     """(conversation_id, turn_id, addressees, confidence, rationale, labeler): a label for every target turn.
 
-    ``responses`` is (conversation_id, window_id, raw), ``targets`` (conversation_id, window_id, turn_id, speaker, speakers). Items
-    for turns that are no target of the window are dropped, names outside the closed set too; nothing left, or a turn that the
-    response misses, gives UNKNOWN; of several items on one turn the last counts. A failed window, also one without a response,
-    gives UNKNOWN with confidence 0 and a labeler ending in ``(failed)`` on each of its targets.
+    ``responses`` is (conversation_id, window_id, raw) with at most one row a window, ``targets`` (conversation_id, window_id,
+    turn_id, speaker, speakers). Items for turns that are no target of the window are dropped, names outside the closed set too;
+    nothing left, or a turn that the response misses, gives UNKNOWN; of several items on one turn the last counts. A failed window,
+    also one without a response, gives UNKNOWN with confidence 0 and a labeler ending in ``(failed)`` on each of its targets. If
+    ``responses`` has a column ``error``, a non-null one fails the window under that name.
+
+    ``responses`` is read once and parsed once: the targets of a window are gathered, joined with its one response, and all that
+    remains is worked out inside the row. A window is what fits a prompt, so a row stays small whatever the corpus.
     """
-    parsed = responses.withColumn("p", parsed_response(F.col("raw"))).select("conversation_id", "window_id", F.col("p.error").alias("window_error"), F.col("p.items").alias("items"))
-    items = parsed.select("conversation_id", "window_id", F.posexplode("items").alias("pos", "item")).select("conversation_id", "window_id", "pos", "item.*")
-    last = items.groupBy("conversation_id", "window_id", "turn_id").agg(
-        F.max_by(F.struct("addressees", "confidence", "rationale"), "pos").alias("found"), F.max("error").alias("item_error")
+    failure = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    parsed = responses.select("conversation_id", "window_id", failure.alias("__failure"), parsed_response(F.col("raw")).alias("__p"))
+    speakers = F.coalesce("speakers", F.array().cast("array<string>"))
+    target = F.struct("turn_id", allowed_addressees(speakers, F.col("speaker")).alias("allowed"))
+    windows = targets.groupBy("conversation_id", "window_id").agg(F.collect_list(target).alias("__targets"))
+    rows = windows.join(parsed, [windows.conversation_id.eqNullSafe(parsed.conversation_id), windows.window_id == parsed.window_id], "left").select(
+        windows.conversation_id, "__targets", "__failure", "__p"
+    )
+    items = F.coalesce("__p.items", F.array().cast(f"array<{ITEM}>"))
+    ids = F.transform("__targets", lambda t: t["turn_id"])
+    bad = F.array_max(F.transform(F.filter(items, lambda i: F.array_contains(ids, i["turn_id"])), lambda i: i["error"]))
+    error = F.coalesce("__failure", "__p.error", bad, F.when(F.col("__p").isNull(), "NoResponse"))
+    rows = rows.select("conversation_id", "__targets", items.alias("__items"), error.alias("__error"))
+
+    failed, unknown = F.col("__error").isNotNull(), F.array(F.lit("UNKNOWN"))
+
+    def label(t: Column) -> Column:
+        found = F.try_element_at(F.filter("__items", lambda i: i["turn_id"] == t["turn_id"]), F.lit(-1))
+        none = failed | found.isNull()
+        return F.struct(
+            t["turn_id"].alias("turn_id"),
+            F.when(none, unknown).otherwise(closed_set(found["addressees"], t["allowed"])).alias("addressees"),
+            F.when(none, F.lit(0.0)).otherwise(found["confidence"]).alias("confidence"),
+            F.when(failed, F.concat(F.lit(FAILED), "__error")).when(none, F.lit(MISSING)).otherwise(found["rationale"]).alias("rationale"),
+        )
+
+    name = F.when(failed, F.lit(f"{labeler}(failed)")).otherwise(F.lit(labeler))
+    return rows.select("conversation_id", name.alias("labeler"), F.inline(F.transform("__targets", label))).select(
+        "conversation_id", "turn_id", "addressees", "confidence", "rationale", "labeler"
     )
-    rows = targets.join(parsed.select("conversation_id", "window_id", "window_error", F.lit(True).alias("answered")), ["conversation_id", "window_id"], "left")
-    rows = rows.join(last, ["conversation_id", "window_id", "turn_id"], "left")
-    bad = rows.where("item_error IS NOT NULL").groupBy("conversation_id", "window_id").agg(F.max("item_error").alias("bad"))
-    rows = rows.join(bad, ["conversation_id", "window_id"], "left")
-    error = F.coalesce("window_error", "bad", F.when(F.col("answered").isNull(), "NoResponse"))
-    allowed = allowed_addressees(F.coalesce("speakers", F.array().cast("array<string>")), F.col("speaker"))
-    missing, unknown = F.col("found").isNull(), F.array(F.lit("UNKNOWN"))
-    return rows.withColumn("__e", error).select(
-        "conversation_id", "turn_id",
-        F.when(F.col("__e").isNotNull() | missing, unknown).otherwise(closed_set(F.col("found.addressees"), allowed)).alias("addressees"),
-        F.when(F.col("__e").isNotNull() | missing, F.lit(0.0)).otherwise(F.col("found.confidence")).alias("confidence"),
-        F.when(F.col("__e").isNotNull(), F.concat(F.lit("labeler failed: "), "__e")).when(missing, F.lit("missing from model output")).otherwise(F.col("found.rationale")).alias("rationale"),
-        F.when(F.col("__e").isNotNull(), F.lit(f"{labeler}(failed)")).otherwise(F.lit(labeler)).alias("labeler"),
-    )

@@ -5,32 +5,53 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from colloquy.operators.metrics import STRATA, Evaluation
 
-#: Most classes that a report lists; a corpus with free names has more, and gets its tables as files instead.
-MOST_CLASSES = 10_000
+#: Most classes, and most labels of the confusion matrix, that a report lists.
+MOST_CLASSES, MOST_LABELS = 10_000, 1_000
+
+
+class TooLarge(ValueError):
+    """The report would not fit; write_tables has no such bound."""
 
 
 def as_dict(e: Evaluation) -> dict:
-    """{result, acceptance}: strata without records have n alone."""
+    """{result, acceptance}: strata without records have n alone.
+
+    A corpus with free names may have more classes or labels than a report can list: TooLarge is raised, nothing is cut.
+    """
     rows = {r.stratum: {k: v for k, v in r.asDict().items() if k != "stratum"} for r in e.summary.collect()}
     strata = {s: rows[s] if rows[s]["n"] else {"n": 0} for s in STRATA}
-    classes = e.per_class.orderBy("class").limit(MOST_CLASSES).collect()
-    cells = e.confusion.orderBy("gold_label", "pred_label").limit(MOST_CLASSES).collect()
-    labels = sorted({r.gold_label for r in cells} | {r.pred_label for r in cells})
-    at = {(r.gold_label, r.pred_label): r.n for r in cells}
+    classes = e.per_class.limit(MOST_CLASSES + 1).collect()
+    labels = _labels(e)
+    if len(classes) > MOST_CLASSES or len(labels) > MOST_LABELS:
+        raise TooLarge(f"more than {MOST_CLASSES} classes or {MOST_LABELS} labels: use write_tables")
+    at = {(r.gold_label, r.pred_label): r.n for r in e.confusion.collect()}  # at most the labels squared
     return {
         "result": {
             "n_conversations": e.n_conversations.first().n_conversations,
             "n_scored_turns": strata["overall"]["n"],
             "strata": strata,
-            "per_class": {r["class"]: {k: v for k, v in r.asDict().items() if k != "class"} for r in classes},
+            "per_class": {r["class"]: {k: v for k, v in r.asDict().items() if k != "class"} for r in sorted(classes, key=lambda r: r["class"])},
             "confusion": {"labels": labels, "matrix": [[at.get((g, p), 0) for p in labels] for g in labels]},
         },
         "acceptance": e.verdict.first().asDict(),
     }
 
 
+def _labels(e: Evaluation) -> list[str]:
+    names = e.confusion.select(F.explode(F.array("gold_label", "pred_label")).alias("l")).distinct()
+    return sorted(r.l for r in names.limit(MOST_LABELS + 1).collect())
+
+
+def write_tables(e: Evaluation, folder: str) -> None:
+    """The frames of an evaluation as Parquet below ``folder``, whatever their size."""
+    for name in ("summary", "per_class", "confusion", "verdict"):
+        getattr(e, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def _cell(value: object) -> str:
     return "  n/a" if value is None else f"{value:6.3f}" if isinstance(value, float) else f"{value!s:>6}"
 

@@ -182,9 +182,8 @@ def exact_match_and_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {RECORDS}, {STRATA_SQL}, {KAPPA_SQL} SELECT stratum, n_pairs, n_agree, round(kappa, 9) AS kappa FROM kap")
 def cohen_kappa_by_stratum(spark: SparkSession, folder: str) -> DataFrame:
-    singles = metrics.stratified(_records(spark, folder).where("both_single"))
-    cells = singles.groupBy("stratum", F.col("gold")[0].alias("gold_label"), F.col("pred")[0].alias("pred_label")).agg(F.count("*").alias("n"))
-    return metrics.kappa(cells, ["stratum"]).withColumn("kappa", F.round("kappa", 9))
+    strata = metrics.stratified(metrics.tally(_records(spark, folder)))
+    return metrics.kappa(metrics.confusion(strata, ["stratum"]), ["stratum"]).withColumn("kappa", F.round("kappa", 9))
 
 
 @query(f"""WITH {RECORDS}, strat AS (SELECT 'overall' AS stratum, * FROM rec), {CLASSES_SQL} SELECT class, tp, fp, fn, tp + fn AS support,

@@ -30,15 +30,19 @@ def local_session(cores: int | str = "*", app: str = "colloquy", partitions: int
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only where none is set (tests, one machine) use a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only on one machine, where the master is
+    local, a temporary folder stands in for it; a cluster without the setting is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared checkpoint folder and read it from there: safe against lost executors."""
-    ensure_checkpoint_dir(frame.sparkSession)
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
