@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.columns import clip_offset, meeting_of, millis, turn_hash
+from colloquy.functions.columns import clip_offset, is_backchannel, meeting_of, millis, turn_hash
 from colloquy.operators.current import current_turns
+from colloquy.operators.labels import one_label_per_turn
+from colloquy.operators.metrics import record_columns
+from colloquy.session import cut_lineage
 
 
 def clip_facts(ext_conversations: DataFrame, instances_metadata: DataFrame) -> DataFrame:
@@ -27,7 +30,8 @@ def clip_facts(ext_conversations: DataFrame, instances_metadata: DataFrame) -> D
 
 @dataclass
 class Alignment:
-    """aligned: (clip_id, clip_turn_id, conversation_id, turn_id); clip_turns: every turn of the clips whose meeting we have."""
+    """aligned: (clip_id, clip_turn_id, conversation_id, turn_id, speaker, overlap, backchannel), the last three of our turn;
+    clip_turns: every turn of the clips whose meeting we have; clips: (clip_id, meeting, offset_s, known)."""
 
     aligned: DataFrame
     clip_turns: DataFrame
@@ -50,7 +54,8 @@ def align_clips(ext_conversations: DataFrame, instances_metadata: DataFrame, con
     )
     theirs = theirs.distinct().join(clips, "clip_id").withColumn("at", F.col("ms") + millis(F.col("offset_s")))
     ours = current_turns(
-        conversations, o_turn=lambda t: t["turn_id"], o_speaker=lambda t: t["speaker"], o_text=lambda t: t["text"], o_at=lambda t: millis(t["start"])
+        conversations, o_turn=lambda t: t["turn_id"], o_speaker=lambda t: t["speaker"], o_text=lambda t: t["text"], o_at=lambda t: millis(t["start"]),
+        o_overlap=lambda t: F.coalesce(t["overlap"], F.lit(False)), o_backchannel=lambda t: is_backchannel(t["text"]),
     ).where("o_at IS NOT NULL")
     width = tolerance_ms + 1
     bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
@@ -60,10 +65,10 @@ def align_clips(ext_conversations: DataFrame, instances_metadata: DataFrame, con
     if same_text:
         near &= F.col("text") == F.col("o_text")
     near &= F.abs(F.col("at") - F.col("o_at")) <= tolerance_ms
-    best = F.min(F.struct(F.abs(F.col("at") - F.col("o_at")), "o_at", "o_turn"))
+    best = F.min(F.struct(F.abs(F.col("at") - F.col("o_at")), "o_at", "o_turn", "o_speaker", "o_overlap", "o_backchannel"))
     keys = ["clip_id", "clip_turn_id", "meeting", "content"]
     aligned = probe.join(ours, near).groupBy(*keys).agg(best.alias("b"))
-    aligned = aligned.select("clip_id", "clip_turn_id", F.col("meeting").alias("conversation_id"), F.col("b.o_turn").alias("turn_id"))
+    aligned = aligned.select("clip_id", "clip_turn_id", F.col("meeting").alias("conversation_id"), F.col("b.o_turn").alias("turn_id"), F.col("b.o_speaker").alias("speaker"), F.col("b.o_overlap").alias("overlap"), F.col("b.o_backchannel").alias("backchannel"))
     return Alignment(aligned, theirs, facts.join(own.withColumnRenamed("conversation_id", "meeting").withColumn("known", F.lit(True)), "meeting", "left"))
 
 
@@ -75,3 +80,19 @@ def align_stats(a: Alignment) -> DataFrame:
     )
     total, aligned = a.clip_turns.agg(F.count("*").alias("turns_total")), a.aligned.agg(F.count("*").alias("turns_aligned"))
     return clips.crossJoin(total).crossJoin(aligned)  # one row each
+
+
+def external_records(aligned: DataFrame, ext_labels: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, counts): the clips' labels as gold against ours on aligned turns, as records for an evaluation.
+
+    All aligned turns are taken for one conversation, whose speakers are those of the turns labelled on both sides. counts is one
+    row: turns_aligned (with both labels), turns_unlabelled. The labelled turns are written once, as both are derived from them.
+    """
+    theirs = one_label_per_turn(ext_labels).select(F.col("conversation_id").alias("clip_id"), F.col("turn_id").alias("clip_turn_id"), F.col("addressees").alias("gold"))
+    ours = one_label_per_turn(labels).select("conversation_id", "turn_id", F.col("addressees").alias("pred"))
+    rows = cut_lineage(aligned.join(theirs, ["clip_id", "clip_turn_id"], "left").join(ours, ["conversation_id", "turn_id"], "left"))
+    both = F.col("gold").isNotNull() & F.col("pred").isNotNull()
+    counts = rows.agg(F.count_if(both).alias("turns_aligned"), F.count_if(~both).alias("turns_unlabelled"))
+    known = rows.where(both)
+    speakers = known.agg(F.count_distinct("speaker").alias("n_speakers"))  # one row
+    return known.crossJoin(speakers).select("clip_id", "clip_turn_id", "conversation_id", "turn_id", "gold", "pred", *record_columns()), counts

@@ -19,7 +19,7 @@ def heuristic_labels(turns: DataFrame, rosters: DataFrame, step: int = 40, conte
 
     A speaker alone addresses UNKNOWN; else whoever is named; else the only other speaker; else the last speaker before who is not
     the turn's own, within the window and its context; else GROUP. With ``noise`` that share of turns gets another answer, chosen
-    by a hash of conversation, turn and seed: the same in any run and order.
+    by the MD5 of conversation, turn, seed and draw: the same in any run, order and engine.
     """
     targets = previous_speakers(tiles(turns, step, context)).where("role = 'TARGET'").join(rosters, "conversation_id", "left")
     others = F.filter(F.coalesce("speakers", F.array().cast("array<string>")), lambda s: s != F.col("speaker"))
@@ -33,7 +33,8 @@ def heuristic_labels(turns: DataFrame, rosters: DataFrame, step: int = 40, conte
     )
     rows = rows.withColumn("__guess", guess)
     if noise > 0:
-        draw = lambda salt, n: F.pmod(F.xxhash64("conversation_id", "turn_id", F.lit(seed), F.lit(salt)), n)
+        digest = lambda salt: F.md5(F.concat_ws("|", "conversation_id", "turn_id", F.lit(f"{seed}|{salt}")))
+        draw = lambda salt, n: F.pmod(F.conv(F.substring(digest(salt), 1, 8), 16, 10).cast("bigint"), n)
         options = F.concat(F.filter("__others", lambda o: o != F.col("__guess")), F.array(F.lit("GROUP")))
         flip = (draw(1, F.lit(1_000_000)) < int(noise * 1_000_000)) & (F.size("__others") > 0)
         rows = rows.withColumn("__guess", F.when(flip, F.get(options, draw(2, F.size(options)).cast("int"))).otherwise(F.col("__guess")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.columns import strip
+from colloquy.operators.current import current_conversations, current_turns
 
 
 def merged_turns(turns: DataFrame, labels: DataFrame) -> DataFrame:
@@ -19,11 +19,19 @@ def merged_turns(turns: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def merged_conversations(turns: DataFrame, labels: DataFrame) -> DataFrame:
-    """(conversation_id, turns): the merged turns nested again, ordered by start and turn_id. A conversation is one row, as it came."""
+def merged_conversations(conversations: DataFrame, labels: DataFrame) -> DataFrame:
+    """Current conversations with all their columns, the turns with the three fields of :func:`merged_turns`, ordered by start and turn_id.
+
+    A conversation without turns stays, with an empty list.
+    """
     fields = ["turn_id", "speaker", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "text", "overlap", "addressees", "addressee_confidence", "addressee_rationale"]
-    rows = merged_turns(turns, labels).select("conversation_id", F.struct(F.coalesce("t_start", F.lit(0.0)).alias("k"), F.struct(*fields).alias("t")).alias("x"))
-    return rows.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("turns"))
+    rows = merged_turns(current_turns(conversations), labels)
+    rows = rows.select("conversation_id", F.struct(F.coalesce("t_start", F.lit(0.0)).alias("k"), F.struct(*fields).alias("t")).alias("x"))
+    nested = rows.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("turns"))
+    others = [c for c in conversations.columns if c not in ("conversation_id", "turns")]
+    heads = current_conversations(conversations, **{c: F.col(c) for c in others})
+    turns = F.coalesce("turns", F.array().cast(nested.schema["turns"].dataType))
+    return heads.join(nested, "conversation_id", "left").select("conversation_id", *others, turns.alias("turns"))
 
 
 def transcript_lines(turns: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import columns as C
-from colloquy.operators import align, heuristic, labeling, labels, merge, metrics, parsing, speed, windows
+from colloquy.operators import align, heuristic, ingest, labeling, labels, merge, metrics, parsing, speed, windows
 from colloquy.operators.current import current_conversations, current_turns
 from colloquy.operators.intervals import speech_periods_and_gaps
 from colloquy.operators.overlap import overlap_flags
+from colloquy.session import shared_folder
+from colloquy.sources import jsonl
 from colloquy.sources.tables import table
 from colloquy.streaming.incremental import event_windows
 
@@ -66,6 +69,9 @@ def _labels_sql(name: str, source: str) -> str:
 )"""
 
 
+_BACKCHANNEL = f"""coalesce(len(regexp_extract_all(lower(text), '[a-z'']+')) BETWEEN 1 AND 3 AND list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), {list(C.BACKCHANNEL_WORDS)!r}), false)"""
+_JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE) END"
+
 RECORDS = f"""{TURNS}, {_labels_sql('gold', 'golden')}, {_labels_sql('pred', 'candidate')}, fact AS (
   SELECT * FROM (SELECT facts.*, row_number() OVER (PARTITION BY f.conversation_id, f.turn_id ORDER BY coalesce(f.t_start, 0), facts.overlap, facts.backchannel) AS r
     FROM (SELECT *, coalesce(overlap, false) AS o FROM t) f, LATERAL (SELECT f.conversation_id, f.turn_id, f.o AS overlap,
@@ -103,7 +109,7 @@ KAPPA_SQL = """cells AS (
   SELECT stratum, CAST(n AS BIGINT) AS n_pairs, CAST(a AS BIGINT) AS n_agree, CASE WHEN n * n - coalesce(c, 0) = 0 THEN 1.0
     ELSE CAST(n * a - coalesce(c, 0) AS DOUBLE) / CAST(n * n - coalesce(c, 0) AS DOUBLE) END AS kappa FROM tot LEFT JOIN chance USING (stratum)
 )"""
-SUMMARY_SQL = f"""{RECORDS}, {STRATA_SQL}, {CLASSES_SQL}, {KAPPA_SQL}, base AS (
+SUMMARY_OF_REC = f"""{STRATA_SQL}, {CLASSES_SQL}, {KAPPA_SQL}, base AS (
   SELECT stratum, count(*) AS n, avg(CAST(exact AS INT)) AS exact_match, avg(jaccard) AS mean_jaccard,
     avg(CASE WHEN both_single THEN CAST(exact AS INT) END) AS single_accuracy, count(*) FILTER (WHERE both_single) AS n_single FROM strat GROUP BY 1
 ), f AS (
@@ -113,6 +119,7 @@ SUMMARY_SQL = f"""{RECORDS}, {STRATA_SQL}, {CLASSES_SQL}, {KAPPA_SQL}, base AS (
     CASE WHEN n > 0 THEN coalesce(macro_f1, 0) END AS macro_f1, CASE WHEN n > 0 THEN coalesce(micro_f1, 0) END AS micro_f1
   FROM (SELECT unnest({list(metrics.STRATA)!r}) AS stratum) s LEFT JOIN base USING (stratum) LEFT JOIN f USING (stratum) LEFT JOIN kap USING (stratum)
 )"""
+SUMMARY_SQL = f"{RECORDS}, {SUMMARY_OF_REC}"
 
 
 def _r6(name: str) -> str:
@@ -197,6 +204,22 @@ def macro_micro_f1(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.summary(_records(spark, folder)).select("stratum", F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
 
 
+@query(f"""WITH {RECORDS}, cell AS (SELECT gold[1] AS g, pred[1] AS p, count(*) AS n FROM rec WHERE both_single GROUP BY 1, 2), names AS (SELECT g AS l FROM cell UNION SELECT p FROM cell)
+SELECT a.l AS gold_label, b.l AS pred_label, coalesce(n, 0) AS n FROM names a CROSS JOIN names b LEFT JOIN cell ON cell.g = a.l AND cell.p = b.l""")
+def dense_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.dense_confusion(_records(spark, folder))
+
+
+@query(f"""WITH {SUMMARY_SQL} SELECT (SELECT count(DISTINCT conversation_id) FROM golden) AS n_conversations, (SELECT count(*) FROM rec) AS n_scored_turns,
+  (SELECT count(DISTINCT c) FROM (SELECT unnest(list_concat(gold, pred)) AS c FROM rec)) AS n_classes, (SELECT count(*) FROM (SELECT DISTINCT gold, pred FROM rec WHERE both_single)) AS n_cells,
+  round(kappa, 6) AS kappa, coalesce(kappa >= 0.75 AND exact_match >= 0.8, false) AS accepted FROM summ WHERE stratum = 'overall'""")
+def evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """What :func:`metrics.evaluate` gives, in one row."""
+    e = metrics.evaluate(_t(spark, folder, "golden"), _t(spark, folder, "candidate"), _t(spark, folder, "conversations"))
+    one = e.n_conversations.crossJoin(e.summary.where("stratum = 'overall'").select(F.col("n").alias("n_scored_turns"), F.round("kappa", 6).alias("kappa")))  # one row each
+    return one.crossJoin(e.per_class.agg(F.count("*").alias("n_classes"))).crossJoin(e.confusion.agg(F.count("*").alias("n_cells"))).crossJoin(e.verdict.select("accepted"))
+
+
 @query(f"WITH {RECORDS} SELECT gold[1] AS gold_label, pred[1] AS pred_label, count(*) AS n FROM rec WHERE both_single GROUP BY 1, 2")
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.confusion(_records(spark, folder))
@@ -279,13 +302,20 @@ def heuristic_labels(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conversation_id", "turn_id", F.array_join("addressees", "+").alias("addressees"))
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5(concat_ws('|', conversation_id, turn_id, '7|{0}')), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH {HEURISTIC_SQL}, guess AS (SELECT *, CASE WHEN len(o) = 0 THEN 'UNKNOWN' WHEN len(v) > 0 THEN v[1] WHEN len(o) = 1 THEN o[1] WHEN previous IS NOT NULL THEN previous ELSE 'GROUP' END AS gold
+FROM (SELECT *, [x FOR x IN o IF coalesce(regexp_matches(text, '(?i)(^|[^\\pL\\pN_])' || x || '($|[^\\pL\\pN_])'), false)] AS v FROM (
+  SELECT prev.*, [s FOR s IN coalesce(speakers, []) IF s <> speaker] AS o FROM prev LEFT JOIN rosters USING (conversation_id) WHERE role = 'TARGET'))),
+opts AS (SELECT *, list_concat([x FOR x IN o IF x <> gold], ['GROUP']) AS opt, {_DRAW.format(1)} AS d1, {_DRAW.format(2)} AS d2 FROM guess)
+SELECT conversation_id, turn_id, gold, CASE WHEN d1 % 1000000 < 350000 AND len(o) > 0 THEN opt[d2 % len(opt) + 1] ELSE gold END AS pred FROM opts""")
 def hash_noise_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The rule-based labels with a third of them changed at random: agreement with the unchanged ones."""
+    """The rule-based labels, and the same with a third of them changed: what the demo compares."""
     turns, rosters = _numbered(spark, folder), _rosters(spark, folder)
-    gold = heuristic.heuristic_labels(turns, rosters, STEP, CONTEXT).select("conversation_id", "turn_id", F.col("addressees").alias("gold"))
-    pred = heuristic.heuristic_labels(turns, rosters, STEP, CONTEXT, noise=0.35, seed=7).select("conversation_id", "turn_id", F.col("addressees").alias("pred"))
-    return gold.join(pred, ["conversation_id", "turn_id"]).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("double")), 6).alias("exact_match"))
+    gold = heuristic.heuristic_labels(turns, rosters, STEP, CONTEXT).select("conversation_id", "turn_id", F.array_join("addressees", "+").alias("gold"))
+    pred = heuristic.heuristic_labels(turns, rosters, STEP, CONTEXT, noise=0.35, seed=7).select("conversation_id", "turn_id", F.array_join("addressees", "+").alias("pred"))
+    return gold.join(pred, ["conversation_id", "turn_id"])
 
 
 def _responses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -371,12 +401,23 @@ _ALIGNED = f"""{TURNS}, {_CLIPS}, mine AS (SELECT DISTINCT conversation_id AS me
   SELECT clip_id, meeting, turn, turn.turn_id AS clip_turn_id, turn.speaker AS speaker, turn.text AS text, CAST(round(1000 * turn."start") AS BIGINT) + CAST(round(1000 * offset_s) AS BIGINT) AS ms
   FROM (SELECT DISTINCT conversation_id AS clip_id, unnest(turns) AS turn FROM ext_conversations) JOIN clips USING (clip_id) WHERE meeting IN (SELECT meeting FROM mine)
 ), al AS (
-  SELECT x.clip_id, x.clip_turn_id, x.meeting AS conversation_id, t.turn_id FROM x JOIN (SELECT *, CAST(round(1000 * t_start) AS BIGINT) AS at FROM t) t
+  SELECT x.clip_id, x.clip_turn_id, x.meeting AS conversation_id, t.turn_id, t.speaker, t.o AS overlap, t.b AS backchannel FROM x JOIN (
+    SELECT *, CAST(round(1000 * t_start) AS BIGINT) AS at, coalesce(overlap, false) AS o, {_BACKCHANNEL} AS b FROM t) t
   ON t.conversation_id = x.meeting AND t.speaker = x.speaker AND t.text = x.text AND abs(t.at - x.ms) <= 750
-  QUALIFY row_number() OVER (PARTITION BY x.clip_id, x.meeting, x.turn ORDER BY abs(t.at - x.ms), t.at, t.turn_id) = 1
+  QUALIFY row_number() OVER (PARTITION BY x.clip_id, x.meeting, x.turn ORDER BY abs(t.at - x.ms), t.at, t.turn_id, t.speaker, t.o, t.b) = 1
 )"""
 
 
+_EXTERNAL = f"""{_ALIGNED}, {_labels_sql('ext', 'ext_labels')}, {_labels_sql('pred', 'candidate')}, both_ AS (
+  SELECT al.*, e.addressees AS gold, p.addressees AS pred FROM al LEFT JOIN ext e ON e.conversation_id = al.clip_id AND e.turn_id = al.clip_turn_id
+  LEFT JOIN pred p ON p.conversation_id = al.conversation_id AND p.turn_id = al.turn_id
+), rec AS (
+  SELECT gold, pred, (SELECT count(DISTINCT speaker) FROM both_ WHERE gold IS NOT NULL AND pred IS NOT NULL) AS n_speakers, overlap, backchannel, gold = pred AS exact,
+    {_JACCARD.format('gold', 'pred')} AS jaccard, len(gold) = 1 AND len(pred) = 1 AS both_single
+  FROM both_ WHERE gold IS NOT NULL AND pred IS NOT NULL
+), {SUMMARY_OF_REC}"""
+
+
 def _alignment(spark: SparkSession, folder: str) -> align.Alignment:
     return align.align_clips(_t(spark, folder, "ext_conversations"), _t(spark, folder, "instances_metadata"), _t(spark, folder, "conversations"))
 
@@ -388,7 +429,7 @@ def clip_offset_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_ALIGNED} SELECT clip_id, clip_turn_id, conversation_id, turn_id FROM al")
 def nearest_align(spark: SparkSession, folder: str) -> DataFrame:
-    return _alignment(spark, folder).aligned
+    return _alignment(spark, folder).aligned.select("clip_id", "clip_turn_id", "conversation_id", "turn_id")
 
 
 @query(f"""WITH {_ALIGNED} SELECT (SELECT count(*) FROM clips WHERE meeting IN (SELECT meeting FROM mine)) AS clips_matched, (SELECT count(*) FROM clips WHERE meeting NOT IN (SELECT meeting FROM mine)) AS clips_skipped,
@@ -409,6 +450,24 @@ def external_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count("*").alias("turns_aligned"), F.count_if(~known).alias("turns_unlabelled"), F.round(F.avg(F.when(known, (F.col("g") == F.col("p")).cast("double"))), 6).alias("exact_match"))
 
 
+@query(f"WITH {_EXTERNAL} SELECT stratum, n, {', '.join(map(_r6, ('exact_match', 'mean_jaccard', 'single_accuracy', 'kappa', 'macro_f1', 'micro_f1')))}, n_single FROM summ")
+def external_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """All strata of the clips' labels against the candidate's."""
+    rows, _ = align.external_records(_alignment(spark, folder).aligned, _t(spark, folder, "ext_labels"), _t(spark, folder, "candidate"))
+    return metrics.summary(rows).withColumns({c: F.round(c, 6) for c in ("exact_match", "mean_jaccard", "single_accuracy", "kappa", "macro_f1", "micro_f1")})
+
+
+@query(f"""WITH {_EXTERNAL} SELECT (SELECT string_agg(m, '|' ORDER BY m) FROM (SELECT DISTINCT model_id AS m FROM ext_labels WHERE model_id IS NOT NULL)) AS models,
+  (SELECT count(*) FROM both_ WHERE gold IS NOT NULL AND pred IS NOT NULL) AS turns_aligned, (SELECT count(*) FROM both_ WHERE gold IS NULL OR pred IS NULL) AS turns_unlabelled,
+  round(kappa, 6) AS kappa, round(coalesce(exact_match, 0), 6) AS exact_match, coalesce(kappa >= 0.75 AND exact_match >= 0.8, false) AS accepted FROM summ WHERE stratum = 'overall'""")
+def external_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    """The models behind the clips' labels, how many turns could be compared, and the verdict."""
+    rows, counts = align.external_records(_alignment(spark, folder).aligned, _t(spark, folder, "ext_labels"), _t(spark, folder, "candidate"))
+    models = _t(spark, folder, "ext_labels").agg(F.array_join(F.array_sort(F.collect_set("model_id")), "|").alias("models"))
+    verdict = metrics.verdict(metrics.summary(rows)).select(F.round("kappa", 6).alias("kappa"), F.round("exact_match", 6).alias("exact_match"), "accepted")
+    return models.crossJoin(counts).crossJoin(verdict)  # one row each
+
+
 @query(f"WITH {TURNS} SELECT round(coalesce(sum(s), 0.0), 3) AS audio_seconds FROM (SELECT max(t_end) - min(t_start) AS s FROM t GROUP BY conversation_id)")
 def audio_seconds(spark: SparkSession, folder: str) -> DataFrame:
     return speed.audio_seconds(_turns(spark, folder)).withColumn("audio_seconds", F.round("audio_seconds", 3))
@@ -435,6 +494,99 @@ def failed_labels(spark: SparkSession, folder: str) -> DataFrame:
     return labels.failed_labels(_t(spark, folder, "golden"))
 
 
+@query(f"""WITH {NUMBERED} SELECT conversation_id, window_id, round(greatest(0, s - 0.5), 6) AS audio_start, round(greatest(0.05, e - s + 1.0), 6) AS audio_seconds FROM (
+  SELECT conversation_id, window_id, coalesce(min(t_start), 0.0) AS s, coalesce(max(t_end), 0.0) AS e FROM tiled WHERE role = 'TARGET' GROUP BY 1, 2)""")
+def audio_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """What to cut from the recording for every window, half a second more on both sides."""
+    spans = windows.time_spans(windows.tiles(_numbered(spark, folder), STEP, CONTEXT))
+    cut = C.audio_slice(F.col("span_start"), F.col("span_end"), 0.5)
+    return spans.select("conversation_id", "window_id", F.round(cut["start"], 6).alias("audio_start"), F.round(cut["seconds"], 6).alias("audio_seconds"))
+
+
+@query(f"""WITH {TURNS}, {_labels_sql('pred', 'candidate')} SELECT c.conversation_id, c.audio_path, array_to_string(c.speakers, '|') AS speakers, c.meta['series'] AS series, coalesce(n, 0) AS n_turns, coalesce(labelled, 0) AS n_labelled, coalesce(ids, '') AS turn_ids
+FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY try_cast(meta['revision'] AS DOUBLE) DESC NULLS LAST) = 1) c
+LEFT JOIN (SELECT conversation_id, count(*) AS n, count(p.addressees) AS labelled, string_agg(coalesce(CAST(t.turn_id AS VARCHAR), '') || '>' || coalesce(array_to_string(p.addressees, '+'), '?'), ' ' ORDER BY coalesce(t_start, 0), t.turn_id NULLS FIRST, coalesce(array_to_string(p.addressees, '+'), '?')) AS ids
+  FROM t LEFT JOIN pred p USING (conversation_id, turn_id) GROUP BY 1) USING (conversation_id)""")
+def merged_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts with the candidate's labels in their turns, written as JSON lines and read again."""
+    merged = merge.merged_conversations(_t(spark, folder, "conversations"), labels.one_label_per_turn(_t(spark, folder, "candidate")))
+    path = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    jsonl.write_merged(merged, path)
+    rows = spark.read.schema(merged.schema).json(path)
+    shown = F.transform("turns", lambda t: F.concat(F.coalesce(t["turn_id"].cast("string"), F.lit("")), F.lit(">"), F.coalesce(F.array_join(t["addressees"], "+"), F.lit("?"))))
+    return rows.select(
+        "conversation_id", "audio_path", F.array_join("speakers", "|").alias("speakers"), F.try_element_at("meta", F.lit("series")).alias("series"), F.size("turns").cast("bigint").alias("n_turns"),
+        F.size(F.filter("turns", lambda t: t["addressees"].isNotNull())).cast("bigint").alias("n_labelled"), F.array_join(shown, " ").alias("turn_ids"),
+    )
+
+
+@query(f"""WITH {_labels_sql('one', 'golden')} SELECT conversation_id, turn_id, array_to_string(addressees, '+') AS addressees, round(confidence, 9) AS confidence, rationale, labeler FROM one""")
+def labels_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The label that counts of every turn, written as JSON lines, one conversation a line, and read again."""
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    jsonl.write_labels(labels.one_label_per_turn(_t(spark, folder, "golden")), path)
+    return jsonl.read_labels(spark, path).withColumns({"addressees": F.array_join("addressees", "+"), "confidence": F.round("confidence", 9)})
+
+
+@query("SELECT conversation_id, audio_path, array_to_string(speakers, '|') AS speakers, len(turns) AS n_turns, list_sum([length(x.text) FOR x IN turns]) AS characters, meta['revision'] AS revision FROM conversations WHERE turns IS NOT NULL AND conversation_id IS NOT NULL")
+def conversations_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of conversations, written as JSON lines and read again."""
+    path = f"{shared_folder(spark)}/conversations-{uuid.uuid4().hex}"
+    jsonl.write_conversations(_t(spark, folder, "conversations").where("turns IS NOT NULL AND conversation_id IS NOT NULL"), path)
+    rows = jsonl.read_conversations(spark, path)
+    characters = F.aggregate(F.transform("turns", lambda t: F.char_length(t["text"])), F.lit(None).cast("bigint"), lambda a, n: F.coalesce(a + n, a, n.cast("bigint")))
+    return rows.select("conversation_id", "audio_path", F.array_join("speakers", "|").alias("speakers"), F.size("turns").cast("bigint").alias("n_turns"), characters.alias("characters"), F.try_element_at("meta", F.lit("revision")).alias("revision"))
+
+
+# The turns of conversations written as word and segment files, names as hexadecimal digits, words as runs of printable ASCII, times
+# as whole hundredths; of one speaker in ten the words file is missing.
+
+_XML_TURNS = f"""{TURNS}, u AS (
+  SELECT conversation_id, hex(speaker) AS spk, CAST(floor(round(1000 * t_start) / 10) AS BIGINT) AS a, CAST(floor(round(1000 * t_end) / 10) AS BIGINT) AS b, turn_id, text,
+    [x FOR x IN string_split_regex(coalesce(text, ''), '[^\\x21-\\x7e]+') IF x <> ''] AS w FROM t WHERE speaker IS NOT NULL AND t_start IS NOT NULL AND t_end IS NOT NULL AND conversation_id IS NOT NULL
+), kept AS (SELECT * FROM u WHERE len(w) > 0 AND (length(spk) // 2) % 10 <> 5), prep AS (
+  SELECT hex(conversation_id) AS conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY a, spk, b, turn_id, text) - 1 AS turn_id, spk AS speaker, a / 100.0 AS t_start, b / 100.0 AS t_end, array_to_string(w, ' ') AS text,
+    EXISTS (SELECT 1 FROM kept o WHERE o.conversation_id = k.conversation_id AND o.spk <> k.spk AND o.a < k.b AND o.b > k.a) AS overlap FROM kept k
+)"""
+
+
+def _xml_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(words, segments): (path, content) of a file of each kind for every conversation and speaker."""
+    rows = _turns(spark, folder).where("speaker IS NOT NULL AND t_start IS NOT NULL AND t_end IS NOT NULL AND conversation_id IS NOT NULL")
+    at = lambda c: F.floor(C.millis(F.col(c)) / 10).cast("bigint")
+    rows = rows.select(F.hex("conversation_id").alias("meeting"), F.hex("speaker").alias("spk"), at("t_start").alias("a"), at("t_end").alias("b"), "turn_id", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\x21-\x7e]+"), lambda x: x != "")
+    turn = F.struct("a", "b", "turn_id", "text", words.alias("w"))
+    files = rows.groupBy("meeting", "spk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    seconds = lambda c: F.format_string("%d.%02d", F.floor(c / 100), F.pmod(c, F.lit(100)))
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    word = lambda t, i: F.transform(t["w"], lambda w, j: F.format_string('<w nite:id="%s" starttime="%s" endtime="%s">%s</w>', F.concat_ws(".", i, j), seconds(t["a"]), seconds(t["b"]), escaped(w)))
+    last = lambda t: F.size(t["w"]) - 1
+    segment = lambda t, i: F.format_string('<segment><nite:child href="x.words.xml#id(%s)..id(%s)"/></segment>', F.concat_ws(".", i, last(t)), F.concat_ws(".", i, F.lit(0)))
+    wrap = lambda parts: F.concat(F.lit('<root xmlns:nite="http://nite.sourceforge.net/">'), F.array_join(parts, ""), F.lit("</root>"))
+    made = files.select(
+        F.concat_ws(".", "meeting", "spk").alias("name"), (F.length("spk") / 2).cast("int").alias("size"),
+        wrap(F.flatten(F.transform("turns", word))).alias("words"), wrap(F.transform("turns", segment)).alias("segments"),
+    )
+    named = lambda kind: F.concat(F.lit("/x/"), "name", F.lit(f".{kind}.xml")).alias("path")
+    return made.where("size % 10 <> 5").select(named("words"), F.col("words").alias("content")), made.select(named("segments"), F.col("segments").alias("content"))
+
+
+@query(f"WITH {_XML_TURNS} SELECT conversation_id, turn_id, speaker, t_start, t_end, text, overlap FROM prep")
+def ami_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns put together from word and segment files."""
+    words, segments = _xml_files(spark, folder)
+    return ingest.turns_from_spans(ingest.read_words(words), ingest.read_segments(segments))
+
+
+@query(f"""WITH {_XML_TURNS}, r AS (SELECT hex(conversation_id) AS conversation_id, count(DISTINCT spk) AS n_speakers FROM u GROUP BY 1)
+SELECT conversation_id, n_speakers, count(p.turn_id) AS n_turns, count(*) FILTER (WHERE overlap) AS n_overlap, 100 * count(*) FILTER (WHERE overlap) // greatest(count(p.turn_id), 1) AS overlap_percent, round(coalesce(max(t_end), 0) / 60, 6) AS minutes
+FROM r LEFT JOIN prep p USING (conversation_id) GROUP BY 1, 2""")
+def ami_prepare_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the conversations prepared from word and segment files, those without words among them."""
+    return ingest.prepare_stats(ingest.prepared(*_xml_files(spark, folder))).withColumn("minutes", F.round("minutes", 6))
+
+
 P5_SQL = f"""
 WITH {CURRENT}, t AS (
   SELECT DISTINCT conversation_id, unnest(turns) AS turn FROM current

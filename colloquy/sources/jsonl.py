@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +32,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     The key addressee stands in for addressees, a bare name for a list. The last line of a conversation replaces the others, the
     last item of a turn the others in its line. Lines are ordered by file and position.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at")).where(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # ids rise within a block, which one task reads in order
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), place.alias("__at")).where(F.trim("value") != "")
     doc = lines.select(F.parse_json("value").alias("v"), "__file", "__at").select(
         F.variant_get("v", "$.conversation_id", "string").alias("conversation_id"), F.variant_get("v", "$.labels", "array<variant>").alias("items"), "__file", "__at"
     )
@@ -58,6 +60,32 @@ def write_labels(labels: DataFrame, path: str) -> None:
     label_sets(labels).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_bundle(spark: SparkSession, conversations: str, labels: str, metadata: str | None = None) -> Bundle:
+    """An external bundle of JSON lines: its clips, their labels, and what is known of where the clips come from, if anything is."""
+    lines = spark.read.text(labels).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
+    items = lines.select(F.explode(F.coalesce(F.try_variant_get("v", "$.labels", "array<variant>"), F.array().cast("array<variant>"))).alias("i"), "v")
+    ids = F.coalesce(F.try_variant_get("i", "$.model_id", "string"), F.try_variant_get("v", "$.model_id", "string"))
+    models = items.select(ids.alias("model_id")).where("model_id IS NOT NULL").distinct()
+    known = "conversation_id string, clip_t0_sec double, ami_meeting string"
+    facts = spark.read.schema(known).json(metadata) if metadata else spark.createDataFrame([], known)
+    return Bundle(read_conversations(spark, conversations), label_sets(read_labels(spark, labels)), facts, models)
+
+
+@dataclass
+class Bundle:
+    """conversations, labels and metadata of the clips, and the distinct model_id of the labels."""
+
+    conversations: DataFrame
+    labels: DataFrame
+    metadata: DataFrame
+    models: DataFrame
+
+
+def write_merged(merged: DataFrame, path: str) -> None:
+    """Conversations with their turns' labels, one a line, nulls kept."""
+    merged.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_transcripts(texts: DataFrame, folder: str) -> None:
     """One text file per conversation under ``folder``, in a directory named after it."""
     safe = F.regexp_replace("conversation_id", "/", "_")

@@ -5,10 +5,12 @@ import pytest
 from helpers import tuples
 from pyspark.sql import functions as F
 
-from colloquy.operators import align, ingest, speed
-from colloquy.schema import CONVERSATION, RUN_STATS
+from colloquy.__main__ import main
+from colloquy.operators import align, ingest, metrics, report, speed
+from colloquy.schema import LABEL_SET, RUN_STATS
+from colloquy.session import shared_folder
 from colloquy.sources import jsonl
-from colloquy.streaming.incremental import event_windows, label_stream
+from colloquy.streaming.incremental import event_windows, label_stream, streamed_labels
 from helpers import conversation, conversations, turn
 
 
@@ -73,11 +75,83 @@ def test_alignment(spark):
     ])
     meta = spark.createDataFrame([("clip", 8.249, "M1"), ("clip", None, "")], "conversation_id string, clip_t0_sec double, ami_meeting string")
     a = align.align_clips(clips, meta, ours)
-    assert tuples(a.aligned) == [("M1_t0010-0020", 0, "M1", 0)]  # equal distance: the earlier; the last clip is 0.751 s off
+    assert tuples(a.aligned.select("clip_id", "clip_turn_id", "conversation_id", "turn_id")) == [("M1_t0010-0020", 0, "M1", 0)]  # equal distance: the earlier; the last clip is 0.751 s off
     assert tuples(align.align_stats(a)) == [(2, 1, 1, 5, 1)]
     assert tuples(a.clips.select("clip_id", "meeting", "offset_s"))[0] == ("M1_t0010-0020", "M1", 10.0)
 
 
+def test_external_bundle(spark, tmp_path):
+    lines = lambda name, rows: ((tmp_path / name).write_text("\n".join(map(json.dumps, rows))), str(tmp_path / name))[1]
+    turns = [turn(i, "AB"[i % 2], 10.0 * i, 10.0 * i + 5, "x") for i in range(4)]
+    clips = lines("c", [{"conversation_id": "M_t0010-0050", "turns": [t | {"start": t["start"] - 9.5} for t in turns[1:]]}])
+    gold = lines("l", [{"conversation_id": "M_t0010-0050", "labels": [{"turn_id": i, "addressees": "A", "model_id": "big"} for i in (1, 2)]}])
+    bundle = jsonl.read_bundle(spark, clips, gold)
+    ours = conversations(spark, [conversation("M", turns, ["A", "B"])])
+    assert [r.model_id for r in bundle.models.collect()] == ["big"] and bundle.metadata.count() == 0
+    a = align.align_clips(bundle.conversations, bundle.metadata, ours)
+    mine = spark.createDataFrame([("M", [dict(turn_id=i, addressees=["A"], confidence=1.0, rationale=None, labeler="m") for i in (1, 3)])], LABEL_SET)
+    records, counts = align.external_records(a.aligned, bundle.labels, mine)
+    assert [(r.turn_id, r.exact, r.n_speakers) for r in records.collect()] == [(1, True, 1)] and tuples(counts) == [(1, 2)]
+    out = tmp_path / "report.json"
+    lines("ours", [dict(conversation_id="M", turns=turns, speakers=["A", "B"], meta={}, audio_path=None)]), lines("mine", [{"conversation_id": "M", "labels": [{"turn_id": 1, "addressees": ["A"]}]}])
+    main(["compare-external", "--external-conversations", clips, "--external-labels", gold, "--conversations", str(tmp_path / "ours"), "--labels", str(tmp_path / "mine"), "--report", str(out)], spark)
+    report = json.loads(out.read_text())
+    assert report["external_models"] == ["big"] and report["alignment"]["turns_aligned"] == 1 and report["result"]["strata"]["overall"]["exact_match"] == 1.0
+
+
+def test_commands(spark, tmp_path):
+    rows = [conversation("c", [turn(i, "AB"[i % 2], float(i), i + 0.5, "B, go" if i == 0 else "yes") for i in range(5)], ["A", "B", "C"]), conversation("d", [turn(0)], ["A"])]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    at = lambda name: str(tmp_path / name)
+    base = ["--conversations", at("c.jsonl"), "--window", "2", "--context", "1"]
+    main(["label", *base, "--labeler", "mock", "--store", at("gold"), "--out", at("gold.json")], spark)
+    main(["label", *base, "--labeler", "mock", "--noise", "0.35", "--seed", "7", "--store", at("pred"), "--out", at("pred.json")], spark)
+    assert main(["evaluate", "--conversations", at("c.jsonl"), "--gold", at("gold.json"), "--pred", at("pred.json"), "--report", at("r.json")], spark) in (0, 1)
+    assert json.loads((tmp_path / "r.json").read_text())["result"]["n_scored_turns"] == 6
+    main(["merge", "--conversations", at("c.jsonl"), "--labels", at("gold.json"), "--out", at("merged"), "--text", at("text")], spark)
+    assert spark.read.json(at("merged")).count() == 2 and os.path.isdir(tmp_path / "text" / "conversation_id=c")
+    main(["demo", "--conversations", at("c.jsonl")], spark)
+    (tmp_path / "xml").mkdir()
+    for who in "AB":
+        (tmp_path / "xml" / f"m.{who}.words.xml").write_text(WORDS.replace("m.A", f"m.{who}"))
+        (tmp_path / "xml" / f"m.{who}.segments.xml").write_text(SEGMENTS.replace("m.A", f"m.{who}"))
+    main(["prepare-ami", "--words", at("xml/*.words.xml"), "--segments", at("xml/*.segments.xml"), "--audio-folder", "/a", "--meetings", "m", "--out", at("ami")], spark)
+    made = jsonl.read_conversations(spark, at("ami")).collect()
+    assert [(r.conversation_id, r.speakers, len(r.turns), r.audio_path) for r in made] == [("m", ["A", "B"], 4, "/a/m.Mix-Headset.wav")]
+    speed.write_speed(spark.createDataFrame([("m", "e", 1.0, 1.0, 2.0, 1, 1, 5, 1, 7200.0, 2)], RUN_STATS), {"window": 2}, tmp_path / "s.json")
+    assert json.loads((tmp_path / "s.json").read_text())["results"][0]["tokens_per_second"] == 5.0
+    assert speed.projected(spark.createDataFrame([("m", "e", 1.0, 1.0, 2.0, 1, 1, 5, 1, 3600.0, 2)], RUN_STATS), 7200.0).first().hours_needed == 2.0
+
+
+def test_hundredths_of_times_are_exact():
+    assert ingest._times("2.675", "0.125") == (2.675, 0.125, 2.67, 0.12) and ingest._times("x", None) == (None, None, None, None)
+
+
+def test_a_report_is_not_cut(spark, tmp_path, monkeypatch):
+    gold = spark.createDataFrame([("c", [dict(turn_id=i, addressees=["AB"[i]], confidence=1.0, rationale=None, labeler="m") for i in range(2)])], LABEL_SET)
+    with metrics.evaluate(gold, gold, conversations(spark, [])) as e:
+        assert report.as_dict(e)["result"]["confusion"]["labels"] == ["A", "B"]
+        monkeypatch.setattr(report, "MOST_LABELS", 1)
+        with pytest.raises(report.TooLarge):
+            report.as_dict(e)
+        report.write_tables(e, str(tmp_path))
+        assert spark.read.parquet(str(tmp_path / "confusion")).count() == 2
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_speed(spark):
     stats = spark.createDataFrame([("m", "e", 1.0, 0.0, 2.0, 1, 1, 5, 0, 0.0, 2)], RUN_STATS)
     assert tuples(speed.speed_summary(stats)) == [("m", "e", 0, 2, 500.0, 2.0, 200.0)]
@@ -92,5 +166,10 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         label_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for revision, n in (("3", 3), ("2", 4)):  # a later revision comes, then an older one late
+        more = conversations(spark, [conversation("c", [turn(i, "AB"[i % 2], float(i), i + 1.0) for i in range(n)], ["A", "B"], revision=revision)])
+        more.coalesce(1).write.mode("append").json(str(source))
+        label_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.turn_id for r in streamed_labels(spark, str(tmp_path / "out")).collect()) == [0, 1, 2]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0)], "ts string, event_type string, value double")
     assert event_windows(events.withColumn("ts", F.col("ts").cast("timestamp"))).first().total == 3.0

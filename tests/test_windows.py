@@ -43,18 +43,22 @@ def test_heuristic(spark):
 
 
 def test_overlap(spark):
-    rows = [("m", 0, "A", 0.0, 2.0), ("m", 1, "B", 2.0, 4.0), ("m", 2, "A", 3.0, 3.5), ("m", 3, "A", 3.2, 3.4), ("m", 4, "C", 100.0, 400.0), ("m", 5, "B", 390.0, 391.0), ("m", 6, None, 3.0, 4.0), ("m", 7, "D", None, 4.0)]
+    rows = [("m", 0, "A", 0.0, 2.0), ("m", 1, "B", 2.0, 4.0), ("m", 2, "A", 3.0, 3.5), ("m", 3, "A", 3.2, 3.4), ("m", 4, "C", 100.0, 400.0), ("m", 5, "B", 390.0, 391.0), ("m", 6, None, 3.0, 4.0), ("m", 7, "D", None, 4.0),
+            ("m", 8, "E", 9000.0, 1e12), ("m", 9, "F", 1e9, 1e9 + 1), ("m", 10, "A", 5000.0, 5400.0), ("m", 11, "B", 5390.0, 5391.0), ("m", 12, "C", 7000.0, 7000.5), ("n", 8, "G", 9100.0, 9200.0)]
     turns = spark.createDataFrame(rows, "conversation_id string, turn_id bigint, speaker string, t_start double, t_end double")
-    got = {r.turn_id: r.overlapped for r in overlap_flags(turns).collect()}
-    brute = {i: any(o[2] is not None and s is not None and o[2] != s and None not in (a, b, o[3], o[4]) and o[3] < b and o[4] > a for o in rows) for _, i, s, a, b in rows}
-    assert got == brute
+    got = {(r.conversation_id, r.turn_id): r.overlapped for r in overlap_flags(turns).collect()}
+    brute = {(m, i): any(o[2] is not None and s is not None and o[2] != s and o[0] == m and None not in (a, b, o[3], o[4]) and o[3] < b and o[4] > a for o in rows) for m, i, s, a, b in rows}
+    assert got == brute and sum(got.values()) == 9
 
 
 def test_merge(spark):
-    turns = turns_of(spark, 2)
+    rows = conversations(spark, [conversation("c", [turn(i, "AB"[i], float(i), i + 0.5, f"t{i}") for i in range(2)], ["A"], note="n"), conversation("empty", [], ["X"]), conversation("none", None)])
+    turns = current_turns(rows)
     labels = spark.createDataFrame([("c", 0, ["B"], 0.5, "r")], "conversation_id string, turn_id bigint, addressees array<string>, confidence double, rationale string")
     assert merge.transcripts(turns, labels).first().text == "[   0.00-   0.50]   A -> B         : t0\n[   1.00-   1.50]   B -> ?         : t1"
-    nested = merge.merged_conversations(turns, labels).first().turns
+    merged = {r.conversation_id: r for r in merge.merged_conversations(rows, labels).collect()}
+    assert set(merged) == {"c", "empty", "none"} and merged["empty"].turns == merged["none"].turns == [] and merged["c"].meta["note"] == "n" and merged["c"].speakers == ["A"]
+    nested = merged["c"].turns
     assert [t.turn_id for t in nested] == [0, 1] and nested[1].addressees is None
     assert tuples(merge.coverage(turns, labels)) == [(2, 1)]
 
