@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,220 +15,178 @@ from colloquy.llm.splitting import sentences
 from colloquy.llm.words import words
 
 #: Most item rows, and characters of them, that are indexed on the driver and sent to the tasks.
-MOST_ITEMS, MOST_CHARACTERS = 100_000, 200_000_000
+MOST_ITEMS, MOST_CHARACTERS = 100_000, 50_000_000
 
-PIECE = 3  # words of a piece that must be hit exactly
-CHANGED = 1 / 12  # of an item's words: the error budget
+PIECE = 3  # words that a piece begins with and that must be hit exactly
+CHUNK = 16  # most words of a chunk; a chunk of m words may have m // PIECE - 1 errors
 LEAST_WORDS = 20
 SHARE = 0.45  # of an item, by words found unchanged: half of it, with a tenth of that changed
+BEGINNING = 8  # words that items with a shared instruction have in common at least
 
 
 @dataclass
 class Item:
-    """One distinct item text: its ids, its words as numbers, which of them belong to a shared instruction, its chunks."""
+    """One distinct item text: its ids, how many words it has, how many of them, at its beginning, are a shared instruction."""
 
     ids: list[int]
-    words: np.ndarray
-    shared: np.ndarray
-    chunks: list[tuple[int, int]]
+    size: int
+    shared: int
 
 
 def chunk_spans(text: str) -> list[tuple[int, int]]:
-    """Spans over the words of ``text``: its sentences; those of fewer than 6 words join the next, those over 40 are halved."""
+    """Spans over the words of ``text``: its sentences; those of fewer than 6 words join the next, or the last one, those over CHUNK are cut evenly."""
     sizes = [len(words(text[a:b])) for a, b in sentences(text)]
-    spans, start, end = [], 0, 0
-    for k, size in enumerate(sizes):
+    ends, start, end = [0], 0, 0
+    for size in sizes:
         end += size
-        if end - start < 6 and k < len(sizes) - 1:
-            continue
-        parts = -(-(end - start) // 40) or 1
-        cuts = np.linspace(start, end, parts + 1).astype(int).tolist()
-        spans += [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-        start = end
+        if end - start >= 6:
+            ends.append(end)
+            start = end
+    if end > ends[-1]:
+        ends[-1 if len(ends) > 1 else len(ends) :] = [end]
+    spans = []
+    for a, b in zip(ends, ends[1:]):
+        cuts = np.linspace(a, b, -(-(b - a) // CHUNK) + 1).astype(int).tolist()
+        spans += list(zip(cuts, cuts[1:]))
     return spans
 
 
+def shared_beginnings(texts: list[tuple[int, ...]]) -> list[int]:
+    """How many words of each text are the beginning that at least half, and at least two, of the others with the same first words share.
+
+    The texts go down together, a word at a time, and one is left behind where too few go its way: linear in the words that are shared.
+    """
+    groups: dict[tuple[int, ...], list[int]] = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t[:BEGINNING]].append(i)
+    out = [0] * len(texts)
+    for members in groups.values():
+        need = max(2, -(-(len(members) - 1) // 2)) + 1
+        alive, way, depth = np.array(members), np.zeros(len(members), "int64"), BEGINNING
+        while len(alive) >= need:
+            for i in alive.tolist():
+                out[i] = depth
+            longer = np.array([len(texts[i]) > depth for i in alive.tolist()])
+            alive, way = alive[longer], way[longer]
+            step = np.array([texts[i][depth] for i in alive.tolist()], "int64")
+            _, where, counts = np.unique(np.stack([way, step]), axis=1, return_inverse=True, return_counts=True)
+            where = where.ravel()
+            alive, way, depth = alive[counts[where] >= need], where[counts[where] >= need], depth + 1
+    return out
+
+
+def piece_starts(size: int) -> list[int]:
+    """Where the pieces of a chunk begin: one more than the errors it may have, each of at least PIECE words."""
+    n = max(1, size // PIECE)
+    return [i * size // n for i in range(n)]
+
+
 class Index:
     """Pieces and chunks of all items.
 
-    A leak holds half of an item's n words, that is n / (2 * PIECE) whole pieces, or one less. Of E words changed in it each
-    spoils one piece at most, so n / (2 * PIECE) - 1 - E pieces are hit exactly: the pigeonhole bound. E is CHANGED times n, a sixth
-    of the words that the leak holds.
+    An item is cut into chunks of up to CHUNK words. A chunk of m words counts as found with an edit distance, by words, of at most
+    k = m // PIECE - 1, and is split into k + 1 pieces: of k errors each spoils one piece at most, so one of them is hit exactly,
+    and every place where the chunk can be lies k words at most from where that piece puts it. What is verified and what is
+    looked up have the same budget; nothing is lost between them.
     """
 
     def __init__(self, rows: list[tuple[int, str]], share: float = SHARE):
-        text_of: dict[tuple[str, ...], str] = {}
-        texts: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for item_id, text in sorted(rows):
-            w = tuple(words(text or ""))
-            if len(w) >= LEAST_WORDS and item_id not in texts[w]:
-                texts[w].append(item_id)
-                text_of.setdefault(w, text)
+        texts: dict[tuple[int, ...], tuple[list[int], str]] = {}
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        starts = Counter(w[:8] for w in texts)
-        self.items: list[Item] = []
-        for w, ids in texts.items():
-            shared = np.zeros(len(w), bool)
-            if starts[w[:8]] > 2:  # what items with the same beginning have in common
-                others = [o for o in texts if o[:8] == w[:8] and o != w]
-                common = [next((k for k, (a, b) in enumerate(zip(w, o)) if a != b), min(len(w), len(o))) for o in others]
-                shared[: int(np.median(common))] = True
-            spans = chunk_spans(text_of[w])
+        for item_id, text in sorted(rows):
+            w = words(text or "")
+            if len(w) >= LEAST_WORDS:
+                ids, _ = texts.setdefault(tuple(map(number, w)), ([], text))
+                if item_id not in ids[-1:]:
+                    ids.append(item_id)
+        shared = shared_beginnings(list(texts))
+        self.share = share
+        self.items = [Item(ids, len(w), n if len(w) - n >= LEAST_WORDS // 2 else 0) for (w, (ids, _)), n in zip(texts.items(), shared)]
+        begin, size, item_of, place, at = [], [], [], [], 0
+        pieces: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, ((w, (_, text)), item) in enumerate(zip(texts.items(), self.items)):
+            spans = chunk_spans(text)
             if not spans or spans[-1][1] != len(w):  # words that only exist across sentences
-                cuts = np.linspace(0, len(w), max(1, round(len(w) / 12)) + 1).astype(int).tolist()
+                cuts = np.linspace(0, len(w), -(-len(w) // CHUNK) + 1).astype(int).tolist()
                 spans = list(zip(cuts, cuts[1:]))
-            self.items.append(Item(ids, np.array([number(x) for x in w], "int64"), shared, spans))
-        self.share = share
-        self.base = len(self.vocabulary) + 1
-        pieces: dict[int, list[int]] = defaultdict(list)
-        self.least = np.ones(max(1, len(self.items)), "int64")
-        for i, item in enumerate(self.items):
-            n, own = len(item.words), np.flatnonzero(~item.shared)
-            for at in range(own[0] if len(own) else n, n - PIECE + 1, PIECE):
-                pieces[self.key(*item.words[at : at + PIECE])].append(i << 16 | (at // PIECE))
-            m = int((~item.shared).sum())
-            self.least[i] = max(2, int(np.ceil(m * (0.5 / PIECE - CHANGED))) - 1)
-        self.keys = np.array(sorted(pieces), "int64")
-        self.offsets = np.cumsum([0, *(len(pieces[k]) for k in self.keys.tolist())])
-        self.postings = np.array([p for k in self.keys.tolist() for p in pieces[k]], "int64")
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.slot(self.keys)] = True
-        self.lengths = np.array([len(x.words) for x in self.items] or [1], "int64")
-        self._chunks()
-
-    def key(self, a, b, c):
-        return (a * self.base + b) * self.base + c
+            for a, b in spans:
+                for o in piece_starts(b - a):
+                    if a + o + PIECE <= b and a + o + PIECE > item.shared:  # a piece within the instruction tells nothing
+                        pieces[0].append(at + a + o)
+                        pieces[1].append(len(begin))
+                        pieces[2].append(o)
+                begin.append(at + a)
+                size.append(b - a)
+                place.append(a)
+                item_of.append(i)
+            at += len(w)
+        self.words = np.fromiter((x for w in texts for x in w), "int32", at)
+        self.begin, self.size, self.item_of, self.place = (np.array(x, "int32") for x in (begin, size, item_of, place))
+        self.budget = np.maximum(0, self.size // PIECE - 1)
+        item_size, item_shared = np.array([x.size for x in self.items] or [1]), np.array([x.shared for x in self.items] or [0])
+        self.own = np.minimum(self.size, np.maximum(0, self.place + self.size - item_shared[self.item_of])) if at else self.size
+        self.lengths = item_size
+        #: Words that must be covered in all, and of those that are not part of an instruction.
+        self.need, self.need_own = share * item_size, 0.8 * share * (item_size - item_shared)
+        first = np.array(pieces[0], "int64")
+        keys = self.key(self.words[first], self.words[first + 1], self.words[first + 2]) if len(first) else np.zeros(0, "uint64")
+        order = np.argsort(keys, kind="stable")
+        self.keys, starts = np.unique(keys[order], return_index=True)
+        self.offsets = np.append(starts, len(keys)).astype("int64")
+        self.chunk, self.inside = np.array(pieces[1], "int32")[order], np.array(pieces[2], "int16")[order]
+        bits = max(16, min(26, int(len(keys)).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(self.keys >> self.shift).astype("int64")] = True
 
     @staticmethod
-    def slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype("int64")
-
-    def _chunks(self) -> None:
-        """For Myers' automaton: of each chunk the positions of every word as bits, in one sorted table over (chunk, word)."""
-        self.chunk_of, own, rows = [], [], []
-        for item in self.items:
-            self.chunk_of.append(np.arange(len(rows), len(rows) + len(item.chunks)))
-            for a, b in item.chunks:
-                rows.append(item.words[a:b])
-                own.append(int((~item.shared[a:b]).sum()))
-        self.chunk_len, self.chunk_own = np.array([len(r) for r in rows], "int64"), np.array(own, "int64")
-        #: (item, word) pairs sorted; of each where its bits begin, one machine word for every chunk of the item. At 0 only zeros.
-        most = max((len(x.chunks) for x in self.items), default=1)
-        keys, starts, bits = [], [], [np.zeros(most, "uint64")]
-        at = most
-        for i, item in enumerate(self.items):
-            own = {w: np.zeros(len(item.chunks), "uint64") for w in np.unique(item.words).tolist()}
-            for k, (a, b) in enumerate(item.chunks):
-                for p, w in enumerate(item.words[a:b].tolist()):
-                    own[w][k] |= np.uint64(1 << p)
-            for w, value in own.items():
-                keys.append(i * self.base + w)
-                starts.append(at)
-                bits.append(value)
-                at += len(value)
-        self.word_keys, self.word_bits = np.array(keys, "int64"), np.array(starts, "int64")
-        self.bits = np.concatenate(bits)
-
-    def bits_at(self, item: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Of every word of ``text``, a row for each item of ``item``, where its bits begin; 0 for words that the item lacks."""
-        keys = item[:, None] * self.base + text
-        at = np.searchsorted(self.word_keys, keys)
-        at[at == len(self.word_keys)] = 0
-        return np.where(self.word_keys[at] == keys, self.word_bits[at], 0)
-
-    def candidates(self, numbers: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first, last): places where enough pieces of an item lie in their order, near to each other.
-
-        Near: no two neighbours are further apart than twice the item's length.
-        """
+    def key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """64 bits of three words, well mixed at the top."""
+        h = a.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29)) ^ b.astype("uint64")) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32)) ^ c.astype("uint64")) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31)) ^ (h << np.uint64(33))
+
+    def hits(self, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, chunk, where among all words the chunk would begin) of all exact piece hits."""
+        none = np.zeros(0, "int64")
         if len(numbers) < PIECE or not len(self.keys):
-            return []
+            return none, none, none
         a, b, c = numbers[:-2], numbers[1:-1], numbers[2:]
         at = np.flatnonzero((a > 0) & (b > 0) & (c > 0) & (doc[:-2] == doc[2:]))
         keys = self.key(a[at], b[at], c[at])
-        ok = self.seen[self.slot(keys)]
+        ok = self.seen[(keys >> self.shift).astype("int64")]
         at, keys = at[ok], keys[ok]
         found = np.searchsorted(self.keys, keys)
         found[found == len(self.keys)] = 0
         ok = self.keys[found] == keys
         at, found = at[ok], found[ok]
         if not len(at):
-            return []
+            return none, none, none
         n = self.offsets[found + 1] - self.offsets[found]
-        first = np.repeat(self.offsets[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        posting = self.postings[first + np.arange(n.sum())]
-        where, item, piece = np.repeat(at, n), posting >> 16, posting & 0xFFFF
-        pair = doc[where] * len(self.items) + item
-        if pair[-1] < 1 << 24:  # pairs are nearly sorted by document
-            total = np.bincount(pair)[pair]
-        else:
-            _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-            total = counts[inverse]
-        keep = np.flatnonzero(total >= self.least[item])
-        order = keep[np.argsort(pair[keep], kind="stable")]  # in a pair the hits stay in the order of the text
-        where, piece, pair = where[order], piece[order], pair[order]
-        bounds = np.flatnonzero(np.diff(pair, prepend=-1, append=-1))
-        out = []
-        where, piece = where.tolist(), piece.tolist()
-        for i, j, p in zip(bounds[:-1].tolist(), bounds[1:].tolist(), pair[bounds[:-1]].tolist()):
-            d, k = divmod(p, len(self.items))
-            need, reach = int(self.least[k]), 2 * int(self.lengths[k])
-            for lo, hi in _segments(where, i, j, reach):
-                if hi - lo >= need and _longest_rise(piece[lo:hi]) >= need:
-                    out.append((d, k, where[lo], where[hi - 1] + PIECE))
-        return out
-
-    def covered(self, numbers: np.ndarray, places: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        """For each place (item, from, to): words of the item's chunks found there in order and near to each other, and
-        those of them that are not part of a shared instruction."""
-        out: list[tuple[int, int]] = [(0, 0)] * len(places)
-        by_length = sorted(range(len(places)), key=lambda i: places[i][2] - places[i][1])
-        while by_length:  # places of about the same length advance together
-            shortest = places[by_length[0]][2] - places[by_length[0]][1]
-            group = [i for i in by_length[:512] if places[i][2] - places[i][1] <= shortest * 1.5 + 256]
-            by_length = by_length[len(group) :]
-            ids = [self.chunk_of[places[i][0]] for i in group]
-            row = np.repeat(np.arange(len(group)), [len(x) for x in ids])
-            width = max(places[i][2] - places[i][1] for i in group)
-            text = np.full((len(group), width), -1, "int64")
-            for r, i in enumerate(group):
-                text[r, : places[i][2] - places[i][1]] = numbers[places[i][1] : places[i][2]]
-            flat = np.concatenate(ids)
-            local = flat - np.repeat([x[0] for x in ids], [len(x) for x in ids])
-            end, distance = self.distances(self.bits_at(np.array([places[i][0] for i in group]), text), row, local, self.chunk_len[flat])
-            begin = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            for r, i in enumerate(group):
-                part = slice(begin[r], begin[r + 1])
-                out[i] = self._chain(places[i][0], flat[part], end[part], distance[part])
-        return out
-
-    def _chain(self, item: int, ids: np.ndarray, end: np.ndarray, distance: np.ndarray) -> tuple[int, int]:
-        size = self.chunk_len[ids]
-        ok = np.flatnonzero(distance <= np.maximum(1, (size * 0.3).astype(int)))
-        reach = 2 * int(self.lengths[item])
-        best: list[tuple[int, int]] = []
-        for k, x in enumerate(ok):
-            own = mine = 0
-            for j, y in enumerate(ok[:k]):
-                if 0 < end[x] - end[y] <= reach and best[j][0] > own:
-                    own, mine = best[j]
-            kept = int(size[x]) - int(distance[x])
-            best.append((own + kept, mine + min(int(self.chunk_own[ids[x]]), kept)))
-        return max(best, default=(0, 0))
-
-    def distances(self, bits_at: np.ndarray, row: np.ndarray, local: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Myers' bit-parallel edit distance of each chunk to the best place in its row of a text: (its end, distance).
-
-        All chunks advance together, a word of the text at a time; a chunk, number ``local`` of its item, is one machine word.
+        posting = np.repeat(self.offsets[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        where = np.repeat(at, n)
+        return doc[where], self.chunk[posting].astype("int64"), where - self.inside[posting]
+
+    def distances(self, numbers: np.ndarray, chunk: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Myers' bit-parallel edit distance of each chunk to the best place within ``numbers[low:high]``: (distance, its last word).
+
+        All rows advance together, a word of their text at a time; a chunk is one machine word.
         """
-        one = np.uint64(1)
+        one, n = np.uint64(1), len(chunk)
+        size = self.size[chunk].astype("int64")
         top = (size - 1).astype("uint64")
-        vp, vn = np.full(len(size), ~np.uint64(0)), np.zeros(len(size), "uint64")
-        score, best, end = size.copy(), size.copy(), np.full(len(size), -1)
-        columns = np.ascontiguousarray(bits_at.T)
-        for j in range(len(columns)):
-            eq = self.bits[columns[j][row] + local]
+        columns = np.arange(int(size.max(initial=1)))
+        pattern = self.words[np.minimum(self.begin[chunk][:, None] + columns, len(self.words) - 1)]
+        pattern[columns >= size[:, None]] = -2
+        weights = one << columns.astype("uint64")
+        vp, vn = np.full(n, ~np.uint64(0)), np.zeros(n, "uint64")
+        score, best, end = size.copy(), size.copy(), low.copy()
+        for j in range(int((high - low).max(initial=0))):
+            at = low + j
+            text = np.where(at < high, numbers[np.minimum(at, len(numbers) - 1)], -1)
+            eq = ((pattern == text[:, None]) * weights).sum(1, dtype="uint64")
             xv = eq | vn
             xh = (((eq & vp) + vp) ^ vp) | eq
             hp, hn = vn | ~(xh | vp), vp & xh
@@ -238,10 +195,9 @@ class Index:
             hp <<= one
             hn <<= one
             vp, vn = hn | ~(xv | hp), hp & xv
-            better = score < best
-            if better.any():
-                best[better], end[better] = score[better], j
-        return end, best
+            better = (score < best) & (at < high)
+            best[better], end[better] = score[better], at[better]
+        return best, end
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """(position of the text, item, words covered) for every leak in a batch of texts."""
@@ -250,36 +206,88 @@ class Index:
         length = np.array([len(x) for x in numbers], "int64")
         flat = np.fromiter((w for x in numbers for w in x), "int64", int(length.sum()))
         doc = np.repeat(np.arange(len(texts)), length)
-        begin = np.concatenate([[0], np.cumsum(length)])
-        places = []
-        for d, item, low, high in self.candidates(flat, doc):
-            slack = int(self.lengths[item])
-            places.append((d, item, max(low - slack, int(begin[d])), min(high + slack, int(begin[d + 1]))))
-        best: dict[tuple[int, int], int] = {}
-        for (d, item, _, _), (total, own) in zip(places, self.covered(flat, [p[1:] for p in places])):
-            n, m = int(self.lengths[item]), int((~self.items[item].shared).sum())
-            if total >= self.share * n and own >= self.share * m * 0.8 and total > best.get((d, item), 0):
-                best[d, item] = total
-        yield from ((d, item, total) for (d, item), total in best.items())
-
-
-def _segments(where: list[int], i: int, j: int, reach: int) -> Iterator[tuple[int, int]]:
-    """Parts of ``where[i:j]`` without a step of more than ``reach``."""
-    start = i
-    for k in range(i + 1, j):
-        if where[k] - where[k - 1] > reach:
-            yield start, k
-            start = k
-    yield start, j
-
-
-def _longest_rise(values: list[int]) -> int:
-    """Length of the longest strictly increasing subsequence."""
-    tails: list[int] = []
-    for v in values:
-        at = bisect_left(tails, v)
-        tails[at : at + 1] = [v]
-    return len(tails)
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        text_of, chunk, start = self.hits(flat, doc)
+        if not len(chunk):
+            return
+        # of the chunks of an item that are hit in a text, the words must suffice
+        pair = text_of * len(self.items) + self.item_of[chunk]
+        which, where = np.unique(pair, return_inverse=True)
+        cells = np.unique(where * np.int64(len(self.size)) + chunk)
+        covered = np.bincount(cells // len(self.size), self.own[cells % len(self.size)], len(which))
+        item = which % len(self.items)
+        enough = covered >= self.need_own[item] - CHUNK // 2
+        keep = enough[where]
+        rows = np.unique(np.stack([pair[keep], start[keep], chunk[keep]]), axis=1)
+        pair, start, chunk = rows
+        slack = self.budget[chunk]
+        text_of = pair // len(self.items)
+        low = np.maximum(start - slack, bounds[text_of])
+        high = np.minimum(start + self.size[chunk] + slack, bounds[text_of + 1])
+        distance, end = np.zeros(len(chunk), "int64"), np.zeros(len(chunk), "int64")
+        for i in range(0, len(chunk), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            distance[part], end[part] = self.distances(flat, chunk[part], low[part], high[part])
+        ok = distance <= slack
+        pair, chunk, distance, end = pair[ok], chunk[ok], distance[ok], end[ok]
+        edges = np.flatnonzero(np.diff(pair, prepend=-1, append=-1))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            d, k = divmod(int(pair[i]), len(self.items))
+            total, own = self._covered(k, chunk[i:j], end[i:j], distance[i:j], flat, int(bounds[d]), int(bounds[d + 1]))
+            if total >= self.need[k] and own >= self.need_own[k]:
+                yield d, k, total
+
+    def _covered(self, item: int, chunk: np.ndarray, end: np.ndarray, distance: np.ndarray, flat: np.ndarray, begin: int, stop: int) -> tuple[int, int]:
+        """Words of an item, in all and beside an instruction, in the best chain of chunks found in order and near to each other.
+
+        Near: no two neighbours are further apart than twice the item's length. A chain that falls short by no more than two chunks
+        is prolonged at both ends by the part of the next chunk that is there: a passage may be cut inside a sentence.
+        """
+        order = np.lexsort((chunk, end))
+        chunk, end, distance = chunk[order], end[order], distance[order]
+        reach, n = 2 * int(self.lengths[item]), len(chunk)
+        kept = self.size[chunk] - distance
+        mine = np.minimum(self.own[chunk], kept)
+        total, own, before = kept.astype("int64"), mine.astype("int64"), np.full(n, -1)
+        for x in range(1, n):
+            y = np.flatnonzero((chunk[:x] < chunk[x]) & (end[:x] < end[x]) & (end[x] - end[:x] <= reach))
+            if len(y):
+                b = y[np.argmax(total[y])]
+                total[x], own[x], before[x] = total[b] + kept[x], own[b] + mine[x], b
+        best = int(np.argmax(total))
+        have, have_own = int(total[best]), int(own[best])
+        short = max(self.need[item] - have, self.need_own[item] - have_own)
+        if not 0 < short <= 2 * CHUNK:
+            return have, have_own
+        head = best
+        while before[head] >= 0:
+            head = before[head]
+        first, last = int(chunk[head]), int(chunk[best])
+        if first > 0 and self.item_of[first - 1] == item:
+            left = int(end[head]) - int(self.size[first]) + 1
+            near = flat[max(begin, left - 2 * CHUNK) : left + int(self.budget[first])][::-1]
+            more = _prefix(self.words[self.begin[first - 1] : self.begin[first - 1] + self.size[first - 1]][::-1], near, int(self.budget[first]) * 2)
+            have, have_own = have + more, have_own + min(more, int(self.own[first - 1]))
+        if last + 1 < len(self.size) and self.item_of[last + 1] == item:
+            near = flat[int(end[best]) + 1 : min(stop, int(end[best]) + 1 + 2 * CHUNK)]
+            more = _prefix(self.words[self.begin[last + 1] : self.begin[last + 1] + self.size[last + 1]], near, int(self.budget[last + 1]))
+            have, have_own = have + more, have_own + min(more, int(self.own[last + 1]))
+        return have, have_own
+
+
+def _prefix(pattern: np.ndarray, text: np.ndarray, late: int) -> int:
+    """How many words of a beginning of ``pattern`` are at a beginning of ``text``, of which up to ``late`` words may be skipped, with an error in three words at most."""
+    row = [0 if i <= late else i - late for i in range(len(text) + 1)]
+    best = 0
+    for k, w in enumerate(pattern.tolist(), 1):
+        new = [k]
+        for i, t in enumerate(text.tolist(), 1):
+            new.append(min(row[i - 1] + (w != t), row[i] + 1, new[i - 1] + 1))
+        row = new
+        errors = min(row)
+        if errors * PIECE <= k:
+            best = max(best, k - errors)
+    return best
 
 
 def read_items(eval_items: DataFrame) -> list[tuple[int, str]]:
