@@ -21,6 +21,7 @@ PIECE = 3  # words that a piece begins with and that must be hit exactly
 CHUNK = 16  # most words of a chunk; a chunk of m words may have m // PIECE - 1 errors
 LEAST_WORDS = 20
 SHARE = 0.45  # of an item, by words found unchanged: half of it, with a tenth of that changed
+EDGE = 4  # words at the ends of a passage that may lie in chunks of which no piece is whole
 BEGINNING = 8  # words that items with a shared instruction have in common at least
 
 
@@ -174,24 +175,24 @@ class Index:
 
         All rows advance together, a word of their text at a time; a chunk is one machine word.
         """
-        one, n = np.uint64(1), len(chunk)
-        size = self.size[chunk].astype("int64")
-        top = (size - 1).astype("uint64")
-        columns = np.arange(int(size.max(initial=1)))
+        one, n = np.uint32(1), len(chunk)
+        size = self.size[chunk].astype("int32")
+        top = (size - 1).astype("uint32")
+        columns = np.arange(CHUNK)
         pattern = self.words[np.minimum(self.begin[chunk][:, None] + columns, len(self.words) - 1)]
         pattern[columns >= size[:, None]] = -2
-        weights = one << columns.astype("uint64")
-        vp, vn = np.full(n, ~np.uint64(0)), np.zeros(n, "uint64")
+        vp, vn = np.full(n, ~np.uint32(0)), np.zeros(n, "uint32")
         score, best, end = size.copy(), size.copy(), low.copy()
+        numbers = numbers.astype("int32")
         for j in range(int((high - low).max(initial=0))):
             at = low + j
             text = np.where(at < high, numbers[np.minimum(at, len(numbers) - 1)], -1)
-            eq = ((pattern == text[:, None]) * weights).sum(1, dtype="uint64")
+            eq = np.packbits(pattern == text[:, None], axis=1, bitorder="little").view("<u2")[:, 0].astype("uint32")
             xv = eq | vn
             xh = (((eq & vp) + vp) ^ vp) | eq
             hp, hn = vn | ~(xh | vp), vp & xh
-            score += ((hp >> top) & one).view("int64")
-            score -= ((hn >> top) & one).view("int64")
+            score += ((hp >> top) & one).view("int32")
+            score -= ((hn >> top) & one).view("int32")
             hp <<= one
             hn <<= one
             vp, vn = hn | ~(xv | hp), hp & xv
@@ -210,16 +211,31 @@ class Index:
         text_of, chunk, start = self.hits(flat, doc)
         if not len(chunk):
             return
-        # of the chunks of an item that are hit in a text, the words must suffice
-        pair = text_of * len(self.items) + self.item_of[chunk]
-        which, where = np.unique(pair, return_inverse=True)
-        cells = np.unique(where * np.int64(len(self.size)) + chunk)
-        covered = np.bincount(cells // len(self.size), self.own[cells % len(self.size)], len(which))
-        item = which % len(self.items)
-        enough = covered >= self.need_own[item] - CHUNK // 2
-        keep = enough[where]
-        rows = np.unique(np.stack([pair[keep], start[keep], chunk[keep]]), axis=1)
-        pair, start, chunk = rows
+        # a leak's chunks lie within a stretch of three times the item's length: in some stretch the chunks hit must suffice
+        item = self.item_of[chunk].astype("int64")
+        pair = text_of * len(self.items) + item
+        order = np.argsort(pair, kind="stable")
+        edges = np.flatnonzero(np.diff(pair[order], prepend=-1, append=-1))
+        many = np.zeros(len(pair), bool)
+        many[order] = np.repeat(np.diff(edges) * CHUNK, np.diff(edges)) >= self.need_own[item[order]] - EDGE
+        pair, item, start, chunk = pair[many], item[many], start[many], chunk[many]
+        if not len(pair):
+            return
+        enough = np.zeros(len(pair), bool)
+        for shift in (0, 1):
+            reach = 4 * self.lengths[item]
+            cell = (start + reach * shift // 2 + (1 << 40)) // reach
+            order = np.lexsort((chunk, cell, pair))
+            p, c, h = pair[order], cell[order], chunk[order]
+            fresh = np.append(True, (p[1:] != p[:-1]) | (c[1:] != c[:-1]))
+            covered = np.add.reduceat(np.where(np.append(True, fresh[1:] | (h[1:] != h[:-1])), self.own[h], 0), np.flatnonzero(fresh))
+            ok = np.repeat(covered, np.diff(np.append(np.flatnonzero(fresh), len(p)))) >= self.need_own[item[order]] - EDGE
+            enough[order[ok]] = True
+        pair, start, chunk = pair[enough], start[enough], chunk[enough]
+        order = np.lexsort((start, chunk, pair))
+        pair, start, chunk = pair[order], start[order], chunk[order]
+        fresh = np.append(True, (pair[1:] != pair[:-1]) | (chunk[1:] != chunk[:-1]) | (start[1:] != start[:-1]))[: len(pair)]
+        pair, start, chunk = pair[fresh], start[fresh], chunk[fresh]
         slack = self.budget[chunk]
         text_of = pair // len(self.items)
         low = np.maximum(start - slack, bounds[text_of])
@@ -263,15 +279,19 @@ class Index:
         while before[head] >= 0:
             head = before[head]
         first, last = int(chunk[head]), int(chunk[best])
-        if first > 0 and self.item_of[first - 1] == item:
+        earlier = first - 1 if first > 0 and self.item_of[first - 1] == item else -1
+        later = last + 1 if last + 1 < len(self.size) and self.item_of[last + 1] == item else -1
+        if sum(int(self.size[c]) for c in (earlier, later) if c >= 0) < short:
+            return have, have_own
+        if earlier >= 0:
             left = int(end[head]) - int(self.size[first]) + 1
             near = flat[max(begin, left - 2 * CHUNK) : left + int(self.budget[first])][::-1]
-            more = _prefix(self.words[self.begin[first - 1] : self.begin[first - 1] + self.size[first - 1]][::-1], near, int(self.budget[first]) * 2)
-            have, have_own = have + more, have_own + min(more, int(self.own[first - 1]))
-        if last + 1 < len(self.size) and self.item_of[last + 1] == item:
+            more = _prefix(self.words[self.begin[earlier] : self.begin[earlier] + self.size[earlier]][::-1], near, int(self.budget[first]) * 2)
+            have, have_own = have + more, have_own + min(more, int(self.own[earlier]))
+        if later >= 0:
             near = flat[int(end[best]) + 1 : min(stop, int(end[best]) + 1 + 2 * CHUNK)]
-            more = _prefix(self.words[self.begin[last + 1] : self.begin[last + 1] + self.size[last + 1]], near, int(self.budget[last + 1]))
-            have, have_own = have + more, have_own + min(more, int(self.own[last + 1]))
+            more = _prefix(self.words[self.begin[later] : self.begin[later] + self.size[later]], near, int(self.budget[later]))
+            have, have_own = have + more, have_own + min(more, int(self.own[later]))
         return have, have_own
 
 
@@ -279,6 +299,8 @@ def _prefix(pattern: np.ndarray, text: np.ndarray, late: int) -> int:
     """How many words of a beginning of ``pattern`` are at a beginning of ``text``, of which up to ``late`` words may be skipped, with an error in three words at most."""
     row = [0 if i <= late else i - late for i in range(len(text) + 1)]
     best = 0
+    if not np.isin(pattern[: 2 * PIECE], text[: late + 4 * PIECE]).any():
+        return 0
     for k, w in enumerate(pattern.tolist(), 1):
         new = [k]
         for i, t in enumerate(text.tolist(), 1):
