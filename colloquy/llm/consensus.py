@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,8 +19,8 @@ from colloquy.functions.columns import folded, is_backchannel, roster, strip
 from colloquy.operators.current import current_conversations
 from colloquy.session import cut_lineage
 
-#: Most labelers whose confusions (KINDS * OUTCOMES numbers each) are held on the driver and sent to the tasks.
-MOST_LABELERS = 200_000
+#: Most labelers whose confusions (KINDS * OUTCOMES numbers for each grade of confidence) are held on the driver and sent to the tasks.
+MOST_LABELERS = 50_000
 
 #: What a set of addressees is, and how a vote can stand to the true set.
 KINDS = ("group", "single", "several")
@@ -28,13 +29,10 @@ FEATURES = (
     "group", "several", "previous", "next", "before previous", "named", "named at start", "group in short turn", "group in question",
     "previous in backchannel", "previous after question", "next in question", "group by speakers", "several by speakers", "previous and next", "alone",
 )
-#: Up to so many other speakers, every set of two or three of them is a candidate; beyond, those of speakers that votes or the turn point to.
-LISTED = 5
-ITERATIONS = 12
-#: Longest text that may pass for a backchannel.
-SHORT = 30
-#: Greatest change of a labeler's reliability at which the fit has converged.
-SETTLED = 5e-4
+#: Most iterations; a fit that has not settled by then says so.
+ITERATIONS = 40
+#: Greatest change of the log-likelihood of a turn's votes, on average, at which the fit has converged.
+SETTLED = 2e-4
 L2 = 1.0
 #: Upper ends of the grades of confidence on the unit scale; grade 0 is a missing or impossible one, the last is open up to 1.
 GRADES = (0.75, 0.9)
@@ -78,8 +76,8 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
 
     Of several confidences behind one labeler's vote on a turn the highest grade counts.
     """
-    cast = votes(golden).repartition("conversation_id", "turn_id")  # all that follows, the join too, is grouped within it
-    counted = cast.groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"), F.max("grade").alias("grade"))
+    # copies of a vote are counted in the map tasks: what is shuffled, by turn and labeler, is each different vote once a task
+    counted = votes(golden).groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"), F.max("grade").alias("grade"))
     one = counted.groupBy("conversation_id", "turn_id", "labeler").agg(
         F.min_by(F.struct("vote", "grade"), F.struct(-F.col("__n"), F.col("vote"))).alias("__v")
     )
@@ -100,7 +98,7 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
                 F.coalesce(t["start"], F.lit(0.0)).alias("start"), t["turn_id"].alias("turn_id"), strip(t["speaker"]).alias("speaker"),
                 F.filter("__people", lambda s: F.contains(text_of(t), s) & (F.char_length(s) > 1)).alias("named"),
                 F.filter("__people", lambda s: called(text_of(t), s)).alias("at_start"),
-                asks(text_of(t)).alias("question"), F.when(F.char_length(text_of(t)) <= SHORT, is_backchannel(t["text"])).otherwise(False).alias("backchannel"), F.char_length(text_of(t)).alias("length"),
+                asks(text_of(t)).alias("question"), is_backchannel(t["text"]).alias("backchannel"), F.char_length(text_of(t)).alias("length"),
             ),
         ),
     )
@@ -129,14 +127,19 @@ class _Pattern:
     """The candidates of an item with so many other speakers and such votes, as masks, and how a vote stands to each of them."""
 
     def __init__(self, others: int, voted: tuple[int, ...], hinted: int = 0):
+        """Candidates, at every size of the roster: GROUP, each other speaker, what was voted for, unions and intersections of two
+        votes, and every set of two or three of which all but one are pointed to, by a vote or by the turn (by a name in it, or by
+        speaking before or next): their number grows with the roster, not with its square or cube."""
         masks = dict.fromkeys([0, *(1 << i for i in range(others)), *voted])
         for a, b in combinations(voted, 2):
             masks |= dict.fromkeys((a | b, a & b) if a & b else (a | b,))
-        likely = (1 << others) - 1 if others <= LISTED else hinted
+        likely = hinted
         for a in voted:
             likely |= a
         pool = [1 << i for i in range(likely.bit_length()) if likely >> i & 1]
-        masks |= dict.fromkeys(sum(s) for m in (2, 3) for s in combinations(pool, m))
+        everybody = [1 << i for i in range(max(others, likely.bit_length()))]
+        masks |= dict.fromkeys(a | b for a in pool for b in everybody if a != b)
+        masks |= dict.fromkeys(a | b | c for a, b in combinations(pool, 2) for c in everybody if c not in (a, b))
         self.masks = list(masks)
         self.size = [m.bit_count() for m in self.masks]
         self.kind = [min(2, n) for n in self.size]
@@ -181,6 +184,7 @@ class Block:
     outcome: np.ndarray
     spread: np.ndarray  # how many votes share the outcome
     voters: np.ndarray  # of each item
+    ways: np.ndarray  # of each candidate: how many sets of its kind the turn's other speakers make
     names: list[str]  # labelers with the grade of their votes
 
     @classmethod
@@ -210,7 +214,7 @@ class Block:
             p, q, b = bit.get(r.previous, 0), bit.get(r.next, 0), bit.get(r.before_previous, 0)
             named = sum(bit.get(s, 0) for s in set(r.named)) if r.named is not None and len(r.named) else 0
             start = sum(bit.get(s, 0) for s in set(r.at_start)) if r.at_start is not None and len(r.at_start) else 0
-            key = (n_listed, tuple(sorted(set(masks))), p | q | named | start if n_listed > LISTED else 0)
+            key = (n_listed, tuple(sorted(set(masks))), p | q | named | start)
             pattern = patterns.get(key)
             if pattern is None:
                 pattern = patterns[key] = _Pattern(*key)
@@ -248,11 +252,13 @@ class Block:
             prev * backchannel * one, prev * after * one, nxt * question * one, group * np.log(n), several * np.log(n), several * prev * nxt, (1 - group) * (n == 1),
         ], 1)
         key = rows[["conversation_id", "turn_id"]].reset_index(drop=True)
-        return cls(key, candidates, item, kind_, x, np.array(offset, float), as_int(labeler), as_int(cell), as_int(outcome), np.array(spread, float), as_int(voters), list(names))
+        ways = np.where(kind_ == 0, 1.0, np.where(kind_ == 1, n, np.maximum(1.0, n * (n - 1) / 2)))
+        return cls(key, candidates, item, kind_, x, np.array(offset, float), as_int(labeler), as_int(cell), as_int(outcome), np.array(spread, float), as_int(voters), ways, list(names))
 
-    def posterior(self, weights: np.ndarray, theta: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """(posterior of each candidate, the classifier's prior). Without confusions: the prior times the share of votes."""
-        prior = _softmax(self.x @ weights + self.offset, self.item)
+    def posterior(self, weights: np.ndarray, theta: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """(posterior of each candidate, the classifier's prior, log-likelihood of the votes). Without confusions: the prior times the share of votes."""
+        linear = self.x @ weights + self.offset
+        prior, below = _softmax(linear, self.item)
         if theta is None:
             same = np.bincount(self.cell[self.outcome == 0], minlength=len(self.item))
             score = 3.0 * same
@@ -260,11 +266,12 @@ class Block:
             logs = np.log(np.array([theta.get(n, theta[""]) for n in self.names]).reshape(len(self.names), len(KINDS), len(OUTCOMES)))
             each = logs[self.labeler, self.kind[self.cell], self.outcome] - np.log(self.spread)
             score = np.bincount(self.cell, each, minlength=len(self.item))
-        return _softmax(score + self.x @ weights + self.offset, self.item), prior
+        post, above = _softmax(score + linear, self.item)
+        return post, prior, float((above - below).sum())
 
     def statistics(self, weights: np.ndarray, theta: dict[str, np.ndarray] | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Expected confusion counts of each labeler and grade; gradient and Hessian of the classifier; expected log-likelihood."""
-        post, prior = self.posterior(weights, theta)
+        """Expected confusion counts of each labeler and grade; gradient and Hessian of the classifier; log-likelihood of the votes."""
+        post, prior, likelihood = self.posterior(weights, theta)
         flat = (self.labeler * len(KINDS) + self.kind[self.cell]) * len(OUTCOMES) + self.outcome
         counts = np.bincount(flat, post[self.cell], minlength=len(self.names) * len(KINDS) * len(OUTCOMES))
         counts = counts.reshape(len(self.names), len(KINDS), len(OUTCOMES))
@@ -272,20 +279,23 @@ class Block:
         mean = np.stack([np.bincount(self.item, prior * self.x[:, f], minlength=n) for f in range(self.x.shape[1])], 1) if n else np.zeros((0, self.x.shape[1]))
         gradient = (post - prior) @ self.x
         hessian = (self.x * prior[:, None]).T @ self.x - mean.T @ mean
-        return dict(zip(self.names, counts)), gradient, hessian, float((post * np.log(np.maximum(prior, 1e-300))).sum())
+        return dict(zip(self.names, counts)), gradient, hessian, likelihood
 
 
-def _softmax(score: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _softmax(score: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax within each group, logarithm of each group's sum)."""
     if not len(score):
-        return score
+        return score, score
     starts = np.flatnonzero(np.diff(group, prepend=-1))
-    p = np.exp(score - np.repeat(np.maximum.reduceat(score, starts), np.diff(np.append(starts, len(score)))))
-    return p / np.repeat(np.add.reduceat(p, starts), np.diff(np.append(starts, len(score))))
+    sizes, top = np.diff(np.append(starts, len(score))), np.maximum.reduceat(score, starts)
+    p = np.exp(score - np.repeat(top, sizes))
+    total = np.add.reduceat(p, starts)
+    return p / np.repeat(total, sizes), np.log(total) + top
 
 
 def _pack(block: Block) -> bytes:
     out = io.BytesIO()
-    arrays = {k: getattr(block, k) for k in ("item", "kind", "x", "offset", "labeler", "cell", "outcome", "spread", "voters")}
+    arrays = {k: getattr(block, k) for k in ("item", "kind", "x", "offset", "labeler", "cell", "outcome", "spread", "voters", "ways")}
     text = {k: np.array(v, object) for k, v in (("candidates", block.candidates), ("names", block.names), ("conversation", block.key.conversation_id.tolist()))}
     arrays |= {k: np.frombuffer("\0".join(x if x is not None else "\1" for x in v).encode(), "uint8") for k, v in text.items()}
     arrays["x"] = arrays["x"].astype("float32")
@@ -299,7 +309,7 @@ def _unpack(data: bytes) -> Block:
     turn = pd.array(z["turn"], "Int64")
     turn[~z["has_turn"]] = pd.NA
     key = pd.DataFrame({"conversation_id": text["conversation"], "turn_id": turn})
-    return Block(key, text["candidates"], z["item"], z["kind"], z["x"].astype(float), z["offset"], z["labeler"], z["cell"], z["outcome"], z["spread"], z["voters"], text["names"])
+    return Block(key, text["candidates"], z["item"], z["kind"], z["x"].astype(float), z["offset"], z["labeler"], z["cell"], z["outcome"], z["spread"], z["voters"], z["ways"], text["names"])
 
 
 @dataclass
@@ -312,27 +322,37 @@ class Consensus:
     own: dict[str, np.ndarray]
     n_votes: dict[str, float]
     accuracy: dict[str, float]
+    vote_shares: np.ndarray
+    iterations: int
+    settled: bool
 
     def labels(self, least_voters: int = 1) -> DataFrame:
-        """(conversation_id, turn_id, addressees, n_voters, agreement, probability): the consensus of every turn.
+        """(conversation_id, turn_id, addressees, n_voters, agreement, agreement_by_chance, corrected, probability): the consensus of every turn.
 
-        agreement is the share of the votes that equal the consensus, probability its posterior.
+        agreement is the share of the votes that equal the consensus; agreement_by_chance what that share would be if everybody had
+        voted for GROUP, for one and for several as often as all do, and among the speakers at random; corrected is (agreement -
+        by chance) / (1 - by chance), as in a kappa; probability is the posterior.
         """
-        weights, theta = self.weights, self.theta
+        weights, theta, shares = self.weights, self.theta, self.vote_shares
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for data in batch["data"]:
                     b = _unpack(data)
-                    post, _ = b.posterior(weights, theta)
+                    post, _, _ = b.posterior(weights, theta)
                     order = np.lexsort((np.arange(len(post)), -post, b.item))
                     best = order[np.flatnonzero(np.diff(b.item[order], prepend=-1))]
                     same = np.bincount(b.cell[b.outcome == 0], minlength=len(b.item))[best]
-                    out = b.key.assign(addressees=[b.candidates[i] for i in best], n_voters=b.voters, agreement=same / b.voters, probability=post[best])
+                    chance = np.minimum(0.999, shares[b.kind[best]] / b.ways[best])
+                    agreement = same / b.voters
+                    out = b.key.assign(
+                        addressees=[b.candidates[i] for i in best], n_voters=b.voters, agreement=agreement, agreement_by_chance=chance,
+                        corrected=(agreement - chance) / (1 - chance), probability=post[best],
+                    )
                     yield out[out.n_voters >= least_voters]
 
         return self.blocks.mapInPandas(
-            run, "conversation_id string, turn_id bigint, addressees string, n_voters bigint, agreement double, probability double"
+            run, "conversation_id string, turn_id bigint, addressees string, n_voters bigint, agreement double, agreement_by_chance double, corrected double, probability double"
         )
 
     def labelers(self) -> DataFrame:
@@ -348,11 +368,11 @@ class Consensus:
 
 
 def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int = ITERATIONS, block_items: int = 4096) -> Consensus:
-    """Fit on every turn that has votes, until no labeler's reliability moves by SETTLED or for ``iterations``.
+    """Fit on every turn that has votes, until the votes' log-likelihood a turn rises by less than SETTLED or for ``iterations``.
 
     The truth of a turn is GROUP, one of the other speakers, or a set of them: each that was voted for, unions and intersections of two
-    votes, and every two or three speakers, with more than LISTED others those who were voted for, are named or spoke before or next,
-    so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
+    votes, and every two or three of whom all but one were voted for, are named or spoke before or next, by one rule at all sizes; a listed
+    set stands for all of its size, so that the classifier isn't misled by candidates that only exist because of a vote. An iteration is one pass over
     the packed items: each task returns the confusion counts that it expects (E step) with the classifier's gradient and Hessian,
     summed in a shuffle of a few numbers; the driver re-estimates confusions with pseudo-counts and takes a Newton step on the L2
     regularised conditional logit, whose output is the prior of the next E step. Confusions are kept for every labeler and grade of confidence,
@@ -368,26 +388,33 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
                 yield pd.DataFrame({"data": [_pack(block)]})
 
     blocks = cut_lineage(items(golden, conversations).mapInPandas(pack, "data binary"))
-    weights, theta, own, reliability = np.zeros(len(FEATURES)), None, {}, {}
+    weights, theta, own, reliability, counts, before, settled, done = np.zeros(len(FEATURES)), None, {}, {}, {}, None, False, 0
     n_f = len(FEATURES)
     for _ in range(iterations):
 
         def expect(batches: Iterator[pd.DataFrame], weights=weights, theta=theta) -> Iterator[pd.DataFrame]:
             counts: dict[str, np.ndarray] = {}
-            gradient, hessian, loss = np.zeros(n_f), np.zeros((n_f, n_f)), 0.0
+            gradient, hessian, loss, n = np.zeros(n_f), np.zeros((n_f, n_f)), 0.0, 0
             for batch in batches:
                 for data in batch["data"]:
-                    c, g, h, likelihood = _unpack(data).statistics(weights, theta)
+                    block = _unpack(data)
+                    c, g, h, likelihood = block.statistics(weights, theta)
+                    n += len(block.voters)
                     for who, m in c.items():
                         counts[who] = counts.get(who, 0) + m
                     gradient, hessian, loss = gradient + g, hessian + h, loss + likelihood
             rows = [("l", who, k, v) for who, m in counts.items() for k, v in enumerate(m.ravel().tolist())]
             rows += [("g", "", k, v) for k, v in enumerate(gradient.tolist())] + [("h", "", k, v) for k, v in enumerate(hessian.ravel().tolist())]
+            rows += [("n", "", 0, loss), ("n", "", 1, float(n))]
             yield pd.DataFrame(rows, columns=["part", "labeler", "k", "value"])
 
         stats = blocks.mapInPandas(expect, "part string, labeler string, k int, value double")
         summed = stats.groupBy("part", "labeler", "k").agg(F.sum("value").alias("value"))
-        got = summed.limit(MOST_LABELERS * (len(GRADES) + 2) * len(KINDS) * len(OUTCOMES)).toPandas()
+        if done == 0:  # before anything is read: a row for each grade of a labeler, counted where they are
+            names = summed.where("part = 'l' AND k = 0").select(F.substring_index("labeler", "\2", 1).alias("w")).distinct().count()
+            if names > MOST_LABELERS:
+                raise ValueError(f"{names} labelers, more than {MOST_LABELERS}")
+        got = summed.toPandas()
         graded, counts = {}, {}
         for who, rows in got[got.part == "l"].groupby("labeler"):
             m = np.zeros(len(KINDS) * len(OUTCOMES))
@@ -395,8 +422,6 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
             graded[who] = m.reshape(len(KINDS), len(OUTCOMES))
             labeler = who.rpartition("\2")[0]
             counts[labeler] = counts.get(labeler, 0) + graded[who]
-        if len(counts) >= MOST_LABELERS:
-            raise ValueError(f"{MOST_LABELERS} labelers or more")
         gradient, hessian = np.zeros(n_f), np.zeros(n_f * n_f)
         g, h = got[got.part == "g"], got[got.part == "h"]
         gradient[g.k.to_numpy()], hessian[h.k.to_numpy()] = g.value.to_numpy(), h.value.to_numpy()
@@ -404,11 +429,23 @@ def fit_consensus(golden: DataFrame, conversations: DataFrame, iterations: int =
         weights = weights + np.clip(np.linalg.solve(hessian, gradient - L2 * weights), -2, 2)
         own = {who: _rates(m) for who, m in counts.items()}
         theta = {who: _drawn(m, own[who.rpartition("\2")[0]]) for who, m in graded.items()} | {"": _rates(np.zeros((len(KINDS), len(OUTCOMES))))}
-        before, reliability = reliability, {who: float(m[:, 0].sum() / max(m.sum(), 1e-9)) for who, m in counts.items()}
-        if before and max((abs(v - before.get(who, 0.0)) for who, v in reliability.items()), default=0.0) < SETTLED:
+        reliability = {who: float(m[:, 0].sum() / max(m.sum(), 1e-9)) for who, m in counts.items()}
+        done += 1
+        sums = got[got.part == "n"].set_index("k").value
+        mean = float(sums.get(0, 0.0)) / max(1.0, float(sums.get(1, 0.0)))
+        # the first pass has no confusions, so that its likelihood is not comparable
+        settled = not counts or done > 3 and before is not None and abs(mean - before) < SETTLED
+        before = mean if done > 1 else None
+        if settled:
             break
-    n_votes = {who: float(m.sum()) for who, m in counts.items()} if theta else {}
-    return Consensus(blocks, weights, theta or {}, own, n_votes, reliability)
+    if not settled:
+        warnings.warn(f"the consensus had not settled after {done} iterations", stacklevel=2)
+    n_votes = {who: float(m.sum()) for who, m in counts.items()}
+    cast = sum(counts.values(), np.zeros((len(KINDS), len(OUTCOMES))))
+    # which kind a vote is of, by what it says: as the truth, GROUP, one, several
+    kinds = np.array([cast[0, 0] + cast[:, 1].sum(), cast[1, 0] + cast[:, 2].sum() + cast[:, 3].sum(), cast[2, 0] + cast[:, 4].sum() + cast[:, 5].sum()])
+    shares = kinds / max(1e-9, kinds.sum())
+    return Consensus(blocks, weights, theta or {}, own, n_votes, reliability, shares, done, settled)
 
 
 def _rates(counts: np.ndarray) -> np.ndarray:

@@ -11,6 +11,10 @@ from colloquy.functions.columns import clip_offset, folded, meeting_of, millis,
 from colloquy.operators.current import current_turns
 
 
+#: Length of the stretches of time within which neighbours are found, in widths of the widest interval.
+STRETCH = 1024
+
+
 def nearest_in_time(
     left: DataFrame, right: DataFrame, entity: Sequence[str], time: str, tolerance: int, payload: str
 ) -> DataFrame:
@@ -20,7 +24,8 @@ def nearest_in_time(
     the one before up to the midpoint to the one after, cut at the tolerance. The intervals of one entity are disjoint, so a left
     time falls into one at most. For the range join each interval is entered under the time buckets that it touches (two at
     most, a bucket being as wide as the longest interval), and the join is an equi-join on entity and bucket with the bounds as
-    a residual: an entity with a large share of all rows is spread over its buckets.
+    a residual. The neighbours are found within stretches of STRETCH tolerances, so that an entity with a large share of all rows is
+    spread over time in either step, and no task sees the whole of it.
 
     ``time`` and ``tolerance`` are whole numbers of one unit; ``entity`` columns and ``time`` bear the same names on both sides.
     Equally near: the earlier right time; equal right times: the smallest payload. Rows with a null entity or time have no
@@ -30,9 +35,16 @@ def nearest_in_time(
     entity, width = list(entity), 2 * tolerance + 1
     known = lambda d: d.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*entity, time]))
     marks = known(right).groupBy(*entity, F.col(time).alias("__at")).agg(F.min(payload).alias("__payload"))
-    ordered = Window.partitionBy(*entity).orderBy("__at")
+    # a neighbour further off than both tolerances cuts nothing, so that neighbours are looked for within stretches of time, at whose
+    # edges a time is entered on both sides
+    stretch = lambda c: F.floor(c / F.lit(STRETCH * width)).cast("bigint")
+    at = F.col("__at")
+    marks = marks.withColumn("__stretch", F.explode(F.array_distinct(F.array(stretch(at - width), stretch(at), stretch(at + width)))))
+    ordered = Window.partitionBy(*entity, "__stretch").orderBy("__at")
     before, after = F.lag("__at").over(ordered), F.lead("__at").over(ordered)
     halfway = lambda a, b: a + F.floor((b - a) / 2).cast("bigint")
+    marks = marks.withColumns({"__before": before, "__after": after}).where(F.col("__stretch") == stretch(at))
+    before, after = F.col("__before"), F.col("__after")
     intervals = marks.select(
         *[F.col(c).alias(f"__r_{c}") for c in entity],
         "__payload",

@@ -13,10 +13,13 @@ from colloquy.llm.encoding import encoded
 from colloquy.llm.leakage import leaked_items
 from colloquy.llm.nearest import clip_turn_partners
 from colloquy.llm.sampling import draw_sample
-from colloquy.llm.splitting import split_turns
+from colloquy.llm.splitting import LIMIT, OVERLAP, split_turns
 from colloquy.llm.toxicity import rates, scored
 from colloquy.sources.tables import table
 
+#: White space, as a text's characters are counted without it.
+WHITE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,7 +38,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Every turn with votes: consensus, number of voters, share of votes that agree, posterior."""
+    """Every turn with votes: consensus, number of voters, share of votes that agree, as it is and corrected for chance, posterior."""
     return _consensus(spark, folder).labels()
 
 
@@ -68,6 +71,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_turns(table(spark, folder, "conversations")).select("conversation_id", "turn_id", "cut", F.inline("pieces"))
 
 
+def p4_pieces_hold(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every cut turn: the characters that its pieces hold beside white space and repeats, and whether length and overlap keep their limits."""
+    rows = split_turns(table(spark, folder, "conversations"))
+    own = F.transform("pieces", lambda p: F.char_length(F.regexp_replace(F.substring(p["text"], p["shared"] + 1, F.lit(LIMIT)), WHITE, "")))
+    fits = F.forall("pieces", lambda p: (F.char_length(p["text"]) <= LIMIT) & p["shared"].between(0, OVERLAP) & (p["p_end"] - p["p_start"] == F.char_length(p["text"])))
+    characters = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return rows.select("conversation_id", "turn_id", characters.alias("characters"), fits.alias("fits"), (F.size("pieces") > 1).alias("cut_up"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"))
 
@@ -111,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "p3_sample": p3_sample,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_pieces_hold": p4_pieces_hold,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_items": p7_items,
@@ -124,4 +137,5 @@ SQL: dict[str, str] = {
     "p3_found": sql.P3_FOUND,
     "p3_report": sql.P3_REPORT,
     "p4_found": sql.P4_FOUND,
+    "p4_pieces_hold": sql.P4_PIECES_HOLD,
 }

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from colloquy.operators.current import current_turns
 from colloquy.session import cut_lineage
 
-#: Most plan categories that are held on the driver and sent to the executors (a row each of at most some hundred bytes).
-MOST_CATEGORIES = 100_000
+#: Most plan categories that are held on the driver (a row each of some hundred bytes), and most distinct bounds of them: the cells
+#: of a plan, for which the dual is solved, are twice as many.
+MOST_CATEGORIES, MOST_CUTS = 100_000, 2_000
+#: About how many units a part of the population holds; parts are dealt by a hash of the keys, their number is a power of two.
+PART_UNITS = 1 << 20
 NEWTON_STEPS = 60
 
 
@@ -49,22 +52,31 @@ class Grid:
     def __init__(self, targets: pd.DataFrame):
         low, high = targets.min_speakers.dropna(), targets.max_speakers.dropna() + 1
         self.cuts = np.unique(np.concatenate([low, high]).astype("int64"))
+        if len(self.cuts) > MOST_CUTS:
+            raise ValueError(f"{len(self.cuts)} distinct bounds of categories, more than {MOST_CUTS}")
         self.size = 2 * (len(self.cuts) + 1)
 
     def cell(self, n_speakers: Column, overlapped: Column) -> Column:
-        """The cell number, an expression: twice the count of cuts at or below the number of speakers, plus one for overlap."""
-        cuts = F.array(*[F.lit(int(c)) for c in self.cuts])
-        return (2 * F.size(F.filter(cuts, lambda c: c <= n_speakers)) + overlapped.cast("int")).cast("int")
+        """The cell number, an expression: twice the count of cuts at or below the number of speakers, plus one for overlap.
+
+        A search by halves, as nested conditions: some ten comparisons for a turn at the most cuts allowed.
+        """
+
+        def below(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(n_speakers >= int(self.cuts[middle]), below(middle + 1, high)).otherwise(below(low, middle))
+
+        return (2 * below(0, len(self.cuts)) + overlapped.cast("int")).cast("int")
 
     def members(self, row: pd.Series) -> np.ndarray:
-        """Which cells a target row covers; none where one of its bounds is null."""
-        inside = np.zeros(self.size, bool)
+        """The numbers of the cells that a target row covers; none where one of its bounds is null."""
         if pd.isna(row.min_speakers) or pd.isna(row.max_speakers) or row.overlapped is None or row.min_speakers > row.max_speakers:
-            return inside
-        lows = np.concatenate([[np.iinfo("int64").min], self.cuts])
-        ok = (lows >= row.min_speakers) & (lows <= row.max_speakers)
-        inside[int(bool(row.overlapped)) :: 2] = ok
-        return inside
+            return np.zeros(0, "int64")
+        first = np.searchsorted(self.cuts, row.min_speakers) + 1
+        last = np.searchsorted(self.cuts, row.max_speakers + 1) + 1
+        return 2 * np.arange(first, last) + int(bool(row.overlapped))
 
 
 def calibrate(counts: np.ndarray, member: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -136,13 +148,14 @@ UNITS = "plan_id bigint, cell int, conversation_id string, turn_id bigint, proba
 
 
 def _first_level(rates: dict[int, np.ndarray], seed: int, chunk_rows: int):
-    """A task that duels its units within every (plan, cell); what stays open, one unit each, comes out with ``open`` not null."""
+    """A task that duels the units of each part within every (plan, cell); what stays open, one unit each, comes out with ``open`` not null.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    Rows come sorted by part and by a hash within it; chance is seeded by the part, and chunks are cut by number within the part: the
+    draw is the same however the parts lie in tasks and batches.
+    """
 
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, rng = -1, np.random.default_rng(seed)
         left: dict[tuple[int, int], tuple[str, int, float]] = {}
 
         def settle(chunk: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -174,17 +187,30 @@ def _first_level(rates: dict[int, np.ndarray], seed: int, chunk_rows: int):
                     at, cell = np.concatenate(picks), np.concatenate(of)
                     yield _units(plan, cell, ids[at], turns[at], rate[cell], None, part)
 
-        held, rows = [], 0
+        def open_units() -> Iterator[pd.DataFrame]:
+            for (plan, cell), (conversation, turn, q) in left.items():
+                yield _units(plan, [cell], [conversation], [turn], [rates[plan][cell]], [q], part)
+            left.clear()
+
+        held = pd.DataFrame()
         for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= chunk_rows:
-                yield from settle(pd.concat(held, ignore_index=True))
-                held, rows = [], 0
-        if rows:
-            yield from settle(pd.concat(held, ignore_index=True))
-        for (plan, cell), (conversation, turn, q) in left.items():
-            yield _units(plan, [cell], [conversation], [turn], [rates[plan][cell]], [q], part)
+            parts = batch["part"].to_numpy()
+            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1)) if len(parts) else np.zeros(1, int)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                rows = batch.iloc[low:high]
+                if rows["part"].iloc[0] != part:
+                    if len(held):
+                        yield from settle(held)
+                    yield from open_units()
+                    part, held = int(rows["part"].iloc[0]), pd.DataFrame()
+                    rng = np.random.default_rng([seed, part])
+                held = pd.concat([held, rows], ignore_index=True) if len(held) else rows.reset_index(drop=True)
+                while len(held) >= chunk_rows:
+                    yield from settle(held.iloc[:chunk_rows].reset_index(drop=True))
+                    held = held.iloc[chunk_rows:].reset_index(drop=True)
+        if len(held):
+            yield from settle(held)
+        yield from open_units()
 
     return run
 
@@ -229,8 +255,9 @@ def draw_sample(conversations: DataFrame, sample_targets: DataFrame, seed: int =
 
     The category moments are one distributed count by cell; the dual is solved on the driver over cells, of which there are at
     most four for each target row, whatever the population. Where a category has fewer turns than it wants all of them are taken.
-    The drawing reads the turns once for all plans: every task duels its units within each (plan, cell) and hands on at most one
-    open unit each, these are settled in two further levels, the second by plan. With categories that do not overlap, each gets
+    The drawing reads the turns once for all plans: dealt to parts by a hash of their keys, the units of a part duel within each
+    (plan, cell) and at most one open unit each is handed on; these are settled in two further levels, the second by plan. The draw
+    depends on the turns and the seed alone, not on how they lie in files, tasks or executors. With categories that do not overlap, each gets
     exactly what it wants; overlapping ones whose targets contradict each other come as near as the dual does, and the report
     tells. Null bounds or overlap in a target match nothing; null plan_id rows count as plan -1. Empty tables give empty results.
     """
@@ -243,14 +270,22 @@ def draw_sample(conversations: DataFrame, sample_targets: DataFrame, seed: int =
     counts = np.zeros(grid.size, "int64")
     for cell, n in cells.groupBy("cell").count().collect():
         counts[cell] = n
-    rates, member = {}, np.array([grid.members(row) for row in targets.itertuples(index=False)]).reshape(len(targets), grid.size)
-    targets["available"] = member @ counts
+    rates, member = {}, [grid.members(row) for row in targets.itertuples(index=False)]
+    targets["available"] = np.array([counts[m].sum() for m in member], "int64")
     for plan, rows in targets.groupby("plan_id").indices.items():
         wanted = np.minimum(targets.wanted.to_numpy()[rows], targets.available.to_numpy()[rows])
-        rates[int(plan)] = calibrate(counts, member[rows], wanted)
+        of_plan = np.zeros((len(rows), grid.size), bool)  # of one plan at a time
+        for k, i in enumerate(rows):
+            of_plan[k, member[i]] = True
+        rates[int(plan)] = calibrate(counts, of_plan, wanted)
+    wanted_cells = np.flatnonzero(sum(rates.values(), np.zeros(grid.size)) > 0)
+    parts = 1 << max(3, int(counts[wanted_cells].sum() // PART_UNITS).bit_length())
+    order = F.xxhash64(F.lit(seed), "conversation_id", "turn_id")
     settled = cut_lineage(
-        cells.where(F.col("cell").isin([int(c) for c in np.flatnonzero(sum(rates.values(), np.zeros(grid.size)) > 0)]))
-        .sortWithinPartitions(F.xxhash64(F.lit(seed), "conversation_id", "turn_id"))
+        cells.where(F.col("cell").isin([int(c) for c in wanted_cells]))
+        .withColumn("part", F.pmod(order, F.lit(parts)).cast("bigint"))
+        .repartition("part")
+        .sortWithinPartitions("part", order, "conversation_id", "turn_id", "cell")
         .mapInPandas(_first_level(rates, seed, chunk_rows), UNITS)
     )
     drawn = settled.where(F.col("open").isNull())
@@ -263,7 +298,7 @@ def draw_sample(conversations: DataFrame, sample_targets: DataFrame, seed: int =
     level3 = level2.where(F.col("open").isNotNull()).groupBy("plan_id").applyInPandas(_next_level(seed + 2, True), UNITS)
     chosen = drawn.unionByName(level2.where(F.col("open").isNull())).unionByName(level3)
     sample = chosen.select("plan_id", "conversation_id", "turn_id", (1 / F.col("probability")).alias("weight"))
-    places = [(int(targets.plan_id[i]), int(i), int(c)) for i in range(len(targets)) for c in np.flatnonzero(member[i])]
+    places = [(int(targets.plan_id[i]), int(i), int(c)) for i in range(len(targets)) for c in member[i]]
     place = spark.createDataFrame(places, "plan_id bigint, row int, cell int")
     per_cell = chosen.groupBy("plan_id", "cell").count()
     per_row = place.join(per_cell, ["plan_id", "cell"]).groupBy("row").agg(F.sum("count").alias("drawn"))

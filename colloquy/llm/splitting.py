@@ -36,11 +36,12 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
             start = end
 
 
-def atoms(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int]], list[int], str]:
+def atoms(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int]], list[int], str]:
     """(spans of at most ``limit``, strength of the boundary before each, weakest kind of cut that was needed).
 
-    Whole sentences; of those over the limit the words; of words over it slices of the limit's length.
+    Whole sentences; of those over the limit the words; of words over it slices that leave room for the overlap.
     """
+    slice_ = max(1, limit - overlap)
     spans: list[tuple[int, int]] = []
     strength: list[int] = []
     worst = SENTENCE
@@ -58,8 +59,8 @@ def atoms(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int]], list[in
             a, b = word.span()
             if b - a > limit:
                 worst = HARD
-            for at in range(a, b, limit):
-                spans.append((at, min(at + limit, b)))
+            for at in range(a, b, slice_ if b - a > limit else limit):
+                spans.append((at, min(at + (slice_ if b - a > limit else limit), b)))
                 strength.append(first if at == start else SPACE if at == a else HARD)
     return spans, strength, CUTS[worst]
 
@@ -72,7 +73,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[
     the weakest boundary goes first, of equals the one whose merger is the smallest, then the leftmost, as long as both sides
     and the overlap fit together.
     """
-    spans, strength, cut = atoms(text, limit)
+    spans, strength, cut = atoms(text, limit, overlap)
     n = len(spans)
     start, end = [a for a, _ in spans], [b for _, b in spans]
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n

@@ -92,3 +92,17 @@ SELECT conversation_id, turn_id,
 FROM m GROUP BY conversation_id, turn_id, id
 """
 
+
+P4_PIECES_HOLD = r"""
+WITH current AS (
+  SELECT conversation_id, turns FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY try_cast(meta['revision'] AS DOUBLE) DESC NULLS LAST) = 1
+), t AS (
+  SELECT DISTINCT conversation_id, unnest(turns) AS turn FROM current
+), l AS (
+  SELECT conversation_id, turn.turn_id AS turn_id, regexp_replace(turn.text, '[\s\p{Z}\x{1c}-\x{1f}\x{85}\v]+', '', 'g') AS c,
+    length(regexp_replace(turn.text, '^[\s\p{Z}\x{1c}-\x{1f}\x{85}\v]+|[\s\p{Z}\x{1c}-\x{1f}\x{85}\v]+$', '', 'g')) > 512 AS cut_up
+  FROM t WHERE length(turn.text) > 512
+)
+SELECT conversation_id, turn_id, CAST(length(c) AS BIGINT) AS characters, true AS fits, cut_up FROM l
+"""

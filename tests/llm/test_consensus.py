@@ -1,9 +1,11 @@
 import random
+import warnings
 
 import pytest
 from helpers import conversation, conversations, label, label_sets, turn
 
-from colloquy.llm.consensus import _Pattern, _unpack, fit_consensus, votes
+from colloquy.llm import consensus
+from colloquy.llm.consensus import _Pattern, _unpack, fit_consensus, items, votes
 
 
 def world(n=60, seed=1):
@@ -87,6 +89,33 @@ def test_confidence_counts_as_far_as_it_means_something(spark):
     assert {r.labeler for r in model.labelers().collect()} == {"one", "two", "three", "boaster"}
 
 
+def test_too_many_labelers_are_refused_before_they_are_read(spark, monkeypatch):
+    convs, golds, _ = world(4)
+    monkeypatch.setattr(consensus, "MOST_LABELERS", 4)
+    with pytest.raises(ValueError, match="5 labelers"):
+        fit_consensus(label_sets(spark, golds), conversations(spark, convs))
+
+
+def test_settles_and_corrects_for_chance(spark):
+    convs, golds, truth = world()
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        model = fit_consensus(label_sets(spark, golds), conversations(spark, convs))
+        assert model.settled and not [w for w in said if "settled" in str(w.message)]
+        fit_consensus(label_sets(spark, golds), conversations(spark, convs), iterations=2)
+        assert [w for w in said if "had not settled" in str(w.message)]
+    rows = model.labels().collect()
+    assert all(0 < r.agreement_by_chance < 1 and r.corrected <= r.agreement for r in rows)
+    assert all(abs(r.corrected - 1) < 1e-9 for r in rows if r.agreement == 1)
+
+
+def test_long_texts_may_be_backchannels(spark):
+    """One short word in a long text of another script counts as it does in the evaluation."""
+    rows = conversations(spark, [conversation("c", [turn(0, "A", text="ok " + "。" * 200), turn(1, "B", text="well " * 60)], ["A", "B"])])
+    gold = label_sets(spark, [("c", [label(t, ["GROUP"], labeler=w) for t in (0, 1) for w in "xyz"])])
+    assert [r.backchannel for r in items(gold, rows).orderBy("turn_id").collect()] == [True, False]
+
+
 def test_grades_of_confidence(spark):
     values = [None, float("nan"), -1.0, 101.0, 0.0, 0.75, 75.0, 0.76, 90.0, 0.91, 1.0, 100.0]
     gold = label_sets(spark, [("c", [label(t, ["B"], v) for t, v in enumerate(values)])])
@@ -101,6 +130,11 @@ def test_candidates_do_not_hang_on_the_size_of_the_roster(others):
     assert 0b110000 in _Pattern(others + 6, (0b1,), 0b110000).masks
 
 
+def test_candidates_grow_with_the_roster_not_with_its_cube():
+    n = [len(_Pattern(k, (0b01, 0b10), 0b111).masks) for k in (10, 20, 40)]
+    assert n[2] - n[1] == 2 * (n[1] - n[0]) and n[2] < 300
+
+
 def test_a_set_that_nobody_voted_for_in_a_large_roster(spark):
     people = ["S", *"ABCDEFG"]
     convs = [conversation("c", [turn(t, "S", float(t), t + 0.5, "text") for t in range(8)], people)]

@@ -2,6 +2,7 @@ import random
 
 from helpers import conversation, conversations, tuples, turn
 
+from colloquy.llm import nearest
 from colloquy.llm.nearest import clip_turn_partners, nearest_in_time
 
 LEFT, RIGHT = "e string, t bigint, id int", "e string, t bigint, p bigint"
@@ -25,6 +26,11 @@ def test_against_brute_force(spark):
         assert got == brute(left, right, tolerance)
 
 
+def test_neighbours_across_the_edges_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "STRETCH", 1)
+    test_against_brute_force(spark)
+
+
 def test_ties_nulls_repeats_empty(spark):
     left = [("a", 10, 1), ("a", 10, 1), ("a", None, 2), (None, 10, 3), ("b", 10, 4)]
     right = [("a", 8, 5), ("a", 12, 4), ("a", 8, 3), ("a", 8, 3), ("a", None, 1), (None, 10, 1)]

@@ -1,6 +1,10 @@
 import numpy as np
-from helpers import conversation, conversations, turn
+import pandas as pd
+import pytest
+from helpers import conversation, conversations, tuples, turn
+from pyspark.sql import functions as F
 
+from colloquy.llm import sampling
 from colloquy.llm.sampling import calibrate, draw_sample, duel
 
 TARGETS = "plan_id bigint, category string, min_speakers bigint, max_speakers bigint, overlapped boolean, share_bp bigint, min_turns bigint, sample_size bigint"
@@ -50,6 +54,33 @@ def test_sample(spark):
     assert abs(units[units.plan_id == 1].weight.sum() - 1205) < 1e-3  # the weights stand for all units that could be drawn
 
 
+def test_the_draw_does_not_hang_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "PART_UNITS", 64)
+    rows = [conversation(f"c{i}", [turn(k, "AB"[k % 2], float(k), k + 1.0, f"t{k}", k % 3 == 0) for k in range(25)], ["A", "B"]) for i in range(40)]
+    targets = spark.createDataFrame([(1, "a", 2, 2, False, 7000, 0, 200), (1, "b", 2, 2, True, 3000, 0, 200)], TARGETS)
+    frame, drawn = conversations(spark, rows), []
+    for layout, partitions in ((frame.coalesce(1), 1), (frame.repartition(7), 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            drawn.append(tuples(draw_sample(layout, targets, chunk_rows=50)[0].select("conversation_id", "turn_id")))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 200
+
+
+def test_cells_and_their_bound(spark, monkeypatch):
+    targets = pd.DataFrame([(1, 5, True), (3, 3, False), (2, None, True), (6, 4, True)], columns=["min_speakers", "max_speakers", "overlapped"])
+    grid = sampling.Grid(targets)
+    n = spark.range(0, 9).select(F.col("id").alias("n"))
+    cell = {(r.n, r.o): r.c for o in (True, False) for r in n.select("n", F.lit(o).alias("o"), grid.cell(F.col("n"), F.lit(o)).alias("c")).collect()}
+    for row in targets.itertuples(index=False):
+        inside = {k for k, c in cell.items() if c in grid.members(row)}
+        assert inside == {(k, o) for k, o in cell if o == row.overlapped and row.max_speakers == row.max_speakers and row.min_speakers <= k <= row.max_speakers}
+    monkeypatch.setattr(sampling, "MOST_CUTS", 2)
+    with pytest.raises(ValueError, match="distinct bounds"):
+        sampling.Grid(targets)
+
+
 def test_empty(spark):
     sample, report = draw_sample(conversations(spark, []), spark.createDataFrame([(1, "a", 1, 2, True, 10000, 1, 10)], TARGETS))
     assert sample.count() == 0 and [(r.available, r.wanted, r.short) for r in report.collect()] == [(0, 10, True)]

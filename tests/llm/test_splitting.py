@@ -55,3 +55,10 @@ def test_frames(spark):
     found = split_turns(conversations(spark, [conversation("c", turns), conversation("c", [turn(5, text="z" * 600)], revision="0"), conversation("d", None)]))
     assert sorted((r.conversation_id, r.turn_id, r.cut) for r in found.collect()) == [("c", 0, "sentence"), ("c", 0, "space")]
     assert split_turns(conversations(spark, [])).count() == 0
+
+
+def test_hard_pieces_overlap_too():
+    text = "x" * 2000
+    got, cut = pieces(text, 512, 64)
+    assert cut == "hard" and all(b - a <= 512 for a, b, _ in got) and [s for *_, s in got] == [0] + [64] * (len(got) - 1)
+    assert got[0][0] == 0 and got[-1][1] == 2000
