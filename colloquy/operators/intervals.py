@@ -9,26 +9,34 @@ from colloquy.functions.columns import millis
 from colloquy.operators.current import current_turns
 
 
-def merged_periods(intervals: DataFrame, key: str, start_ms: str = "start_ms", end_ms: str = "end_ms") -> DataFrame:
+#: Length of the slices of time within which the intervals of a key are merged first.
+SLICE_MS = 6 * 3_600_000
+
+
+def _sessions(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, start_ms, end_ms, n): sessions of rows (by, start_ms, end_ms, n), the gap of each row being its own length."""
+    length = F.make_interval(secs=((F.col("end_ms") - F.col("start_ms")) / F.lit(1000)).cast("decimal(18,6)"))
+    timed = rows.select(*by, F.timestamp_millis("start_ms").alias("__at"), length.alias("__length"), "n")
+    merged = timed.groupBy(*by, F.session_window("__at", F.col("__length")).alias("__session")).agg(F.sum("n").alias("n"))
+    return merged.select(*by, F.unix_millis("__session.start").alias("start_ms"), F.unix_millis("__session.end").alias("end_ms"), "n")
+
+
+def merged_periods(intervals: DataFrame, key: str, start_ms: str = "start_ms", end_ms: str = "end_ms", slice_ms: int = SLICE_MS) -> DataFrame:
     """(key, start_ms, end_ms, n): each maximal run of intervals in which every one starts no later than what came before it ends.
 
     A session window whose gap is the interval's own length makes one session of intervals that overlap or nest; it streams over
-    rows sorted by start and holds one session at a time, so a key with any number of intervals fits. Sessions that merely touch
-    are joined afterwards. Map tasks merge equal intervals before the shuffle; if ``intervals`` is already partitioned by ``key``
-    there is none.
+    rows sorted by start and holds one session at a time. It is applied twice: to the intervals of a key that begin within one slice
+    of time, so that a key with a large share of all rows is spread over its slices, and then to the few sessions that come of
+    these. Sessions that merely touch are joined afterwards. If ``intervals`` is already partitioned by ``key`` there is no shuffle.
 
     Intervals with a null bound, or that end no later than they start, take no part. Ties and repeated intervals all count in n.
     Null keys form one entity. Other columns are ignored. An empty table gives an empty one.
     """
     rows = intervals.where(F.col(start_ms) < F.col(end_ms)).select(
-        F.col(key).alias("__key"),
-        F.timestamp_millis(start_ms).alias("__at"),
-        F.make_interval(secs=((F.col(end_ms) - F.col(start_ms)) / F.lit(1000)).cast("decimal(18,6)")).alias("__length"),
-    )
-    sessions = rows.groupBy("__key", F.session_window("__at", F.col("__length")).alias("__session")).agg(F.count("*").alias("n"))
-    sessions = sessions.select(
-        "__key", F.unix_millis("__session.start").alias("start_ms"), F.unix_millis("__session.end").alias("end_ms"), "n"
+        F.col(key).alias("__key"), F.col(start_ms).alias("start_ms"), F.col(end_ms).alias("end_ms"), F.lit(1).cast("bigint").alias("n")
     )
+    slices = rows.withColumn("__slice", F.floor(F.col("start_ms") / F.lit(slice_ms)).cast("bigint"))
+    sessions = _sessions(_sessions(slices, ["__key", "__slice"]), ["__key"])
     ordered = Window.partitionBy("__key").orderBy("start_ms", "end_ms")
     starts_anew = F.when(F.col("start_ms") <= F.lag("end_ms").over(ordered), 0).otherwise(1)
     runs = sessions.withColumn("__run", starts_anew).withColumn("__run", F.sum("__run").over(ordered))

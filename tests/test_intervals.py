@@ -24,6 +24,14 @@ def test_against_brute_force(spark):
     assert got == expected
 
 
+def test_slices_of_time_change_nothing(spark):
+    rng = random.Random(2)
+    rows = [("k", a := rng.randint(-300, 300), a + rng.choice([1, 2, 5, 90])) for _ in range(60)]
+    frame = spark.createDataFrame(rows, "k string, start_ms bigint, end_ms bigint")
+    expected = sorted((("k", *r) for r in brute([(a, b) for _, a, b in rows])), key=repr)
+    assert all(tuples(merged_periods(frame, "k", slice_ms=s)) == expected for s in (1, 10, 100_000))
+
+
 def test_touching_nested_nulls_and_ties(spark):
     rows = [("a", 0, 10), ("a", 10, 20), ("a", 12, 15), ("a", 30, 40), ("a", None, 5), ("a", 5, None), ("a", 7, 7), ("a", 9, 3), (None, 1, 2), (None, 2, 3)]
     periods = merged_periods(spark.createDataFrame(rows, "k string, start_ms bigint, end_ms bigint"), "k")
