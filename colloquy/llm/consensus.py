@@ -43,7 +43,8 @@ PRIOR = np.array([[6.0, 0.0, 0.0, 2.0, 0.0, 1.0], [6.0, 1.0, 0.0, 1.5, 0.5, 0.2]
 
 
 def votes(golden: DataFrame) -> DataFrame:
-    """(conversation_id, turn_id, labeler, vote, grade): one vote of a labeler on a turn, an addressee set as names joined by ``+``.
+    """(conversation_id, turn_id, labeler, vote, grade, label): one vote of a labeler on a turn, an addressee set as names joined by ``+``;
+    label is a hash of the label it comes from, by which copies are known.
 
     Names are trimmed, null and empty ones dropped, distinct, sorted; a set with GROUP among others is GROUP. A label that then is
     empty or holds UNKNOWN, or has no labeler (null or blank), casts no vote. Labelers are folded. Where one gave different votes
@@ -56,13 +57,14 @@ def votes(golden: DataFrame) -> DataFrame:
         F.col("__l.turn_id").alias("turn_id"),
         folded(F.col("__l.labeler")).alias("labeler"),
         _grade(F.col("__l.confidence")).alias("grade"),
+        F.xxhash64("__l").alias("label"),
         F.array_sort(
             F.array_distinct(F.filter(F.transform("__l.addressees", strip), lambda x: x.isNotNull() & (x != "")))
         ).alias("__set"),
     )
     rows = rows.where((F.col("labeler") != "") & (F.size("__set") > 0) & ~F.array_contains("__set", "UNKNOWN"))
     vote = F.when(F.array_contains("__set", "GROUP"), F.lit("GROUP")).otherwise(F.array_join("__set", "+"))
-    return rows.select("conversation_id", "turn_id", "labeler", vote.alias("vote"), "grade")
+    return rows.select("conversation_id", "turn_id", "labeler", vote.alias("vote"), "grade", "label")
 
 
 def _grade(confidence: Column) -> Column:
@@ -76,8 +78,10 @@ def items(golden: DataFrame, conversations: DataFrame) -> DataFrame:
 
     Of several confidences behind one labeler's vote on a turn the highest grade counts.
     """
-    # copies of a vote are counted in the map tasks: what is shuffled, by turn and labeler, is each different vote once a task
-    counted = votes(golden).groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"), F.max("grade").alias("grade"))
+    # copies are dropped in the map tasks: what is shuffled, once and by turn, is each different vote of a task; the groups after it lie within it
+    cast = votes(golden).groupBy("conversation_id", "turn_id").agg(F.collect_set(F.struct("labeler", "vote", "grade", "label")).alias("__set"))
+    cast = cast.select("conversation_id", "turn_id", F.inline("__set"))
+    counted = cast.groupBy("conversation_id", "turn_id", "labeler", "vote").agg(F.count("*").alias("__n"), F.max("grade").alias("grade"))
     one = counted.groupBy("conversation_id", "turn_id", "labeler").agg(
         F.min_by(F.struct("vote", "grade"), F.struct(-F.col("__n"), F.col("vote"))).alias("__v")
     )
