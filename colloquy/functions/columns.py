@@ -61,11 +61,16 @@ def closed_set(addressees: Column, allowed: Column) -> Column:
     return F.when(F.size(kept) > 0, normalized_labels(kept)).otherwise(F.array(F.lit(UNKNOWN)))
 
 
+#: One to three words and nothing else: a longer text is given up at its fourth word, whatever its length.
+UP_TO_THREE_WORDS = r"\A[^a-z']*+(?:[a-z']++[^a-z']++){0,2}[a-z']++[^a-z']*+\z"
+
+
 def is_backchannel(text: Column) -> Column:
     """One to three words (letters and apostrophes), at least one of them a backchannel word. Null text: false."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), 1)
+    folded_text = F.lower(text)
+    words = F.regexp_extract_all(folded_text, F.lit("([a-z']+)"), 1)
     lexicon = F.array(*[F.lit(w) for w in BACKCHANNEL_WORDS])
-    return F.coalesce(F.size(words).between(1, 3) & F.arrays_overlap(words, lexicon), F.lit(False))
+    return F.when(folded_text.rlike(UP_TO_THREE_WORDS), F.arrays_overlap(words, lexicon)).otherwise(False)
 
 
 def jaccard(left: Column, right: Column) -> Column:
